@@ -26,3 +26,22 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op6_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.bytecnn import predict, train
+    from pulsegrid.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.common import held_out
+    from pulsegrid.llm.mil import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
