@@ -20,6 +20,8 @@ _IS_WHITE = np.zeros(256, dtype=bool)
 _IS_WHITE[[ord(c) for c in WHITE]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes as they are, for word_hashes.
+AS_IS = np.arange(256, dtype=np.uint8)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -50,6 +52,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(count: int, at: int) -> np.ndarray:
+    """Keys of `count` rows from the task's row `at` on; no two rows of a job share one. They are kept by writing the job's rows."""
+    from pyspark import TaskContext
+
+    return (np.int64(TaskContext.get().partitionId()) << np.int64(33)) + np.arange(at, at + count, dtype=np.int64)
+
+
+#: A key with more than this share of all rows is hot: no more than 1 / HOT keys are, however large the table.
+HOT = 1 / 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows, each with the columns of its group (one row for each key; `size` is its number of rows, of `total` together).
+
+    The hot groups, 1 / HOT at most, are broadcast; the rows of the others are shuffled by their key. Null keys match nothing.
+    """
+    hot = groups.where(F.col(size) > total * HOT)
+    keys = hot.select(F.col(key).alias("_hot"))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(keys), F.col(key) == F.col("_hot"), "left_anti").join(groups.where(F.col(size) <= total * HOT), key))
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -107,8 +130,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of a piece; a word ends at white space and at each of `cuts`."""
+def _piece_words(raw: np.ndarray, cuts: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a piece; a word ends at white space and at each of `cuts`. fold: what each byte counts as."""
     white = _IS_WHITE[raw]
     solid = ~white
     begin = solid.copy()
@@ -127,18 +150,18 @@ def _piece_words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     up, down = _power_tables(len(raw) + 1)
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    np.cumsum((fold[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     return starts, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (letters A-Z lower-cased) of the rows, and the number of words before each row.
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (letters A-Z lower-cased, unless `fold` is AS_IS) of the rows, and the number of words before each row.
 
     Rows of over BLOCK bytes are hashed in pieces that end between words, so memory follows the block, not the row.
     """
     if len(raw) <= BLOCK:
         cuts = np.unique(offsets[:-1])
-        starts, hashes = _piece_words(raw, cuts[cuts < len(raw)])
+        starts, hashes = _piece_words(raw, cuts[cuts < len(raw)], fold)
         return hashes, np.searchsorted(starts, offsets)
     import hashlib
 
@@ -154,11 +177,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
                 else:  # one word longer than a block
                     while end < hi and not _IS_WHITE[raw[end]]:
                         end += 1
-                    word = hashlib.blake2b(_LOWER[raw[at:end]].tobytes(), digest_size=8).digest()
+                    word = hashlib.blake2b(fold[raw[at:end]].tobytes(), digest_size=8).digest()
                     out.append(np.frombuffer(word, np.uint64))
                     n, at = n + 1, end
                     continue
-            _, hashes = _piece_words(raw[at:end], np.zeros(0, np.int64))
+            _, hashes = _piece_words(raw[at:end], np.zeros(0, np.int64), fold)
             out.append(hashes)
             n, at = n + len(hashes), end
         counts.append(counts[-1] + n)

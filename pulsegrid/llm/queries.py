@@ -45,3 +45,20 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.gracededup import Grouped
+
+    return Grouped(table(spark, sf_dir, "documents").select("doc_id", "text")).decisions()
+
+
+ORACLES["op8_grace_dedup"] = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+     d AS (SELECT doc_id, points, sha256(norm) AS text_sha256 FROM n),
+     w AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+                  row_number() OVER g = 1 AS kept
+           FROM d WINDOW g AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM w
+"""
