@@ -62,3 +62,10 @@ WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(c
            FROM d WINDOW g AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM w
 """
+
+
+@query
+def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
