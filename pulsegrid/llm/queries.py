@@ -69,3 +69,10 @@ def op9_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.mixing import mixed
 
     return mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.icws import NearDuplicates
+
+    return NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).classes()
