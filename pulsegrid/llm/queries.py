@@ -76,3 +76,11 @@ def op5_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.icws import NearDuplicates
 
     return NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).classes()
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.warc import read_archives, write_archives
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return read_archives(write_archives(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
