@@ -154,18 +154,18 @@ def _piece_words(raw: np.ndarray, cuts: np.ndarray, fold: np.ndarray = _LOWER) -
     return starts, mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (letters A-Z lower-cased, unless `fold` is AS_IS) of the rows, and the number of words before each row.
+def words_at(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of the rows starts, its 64-bit hash (letters A-Z lower-cased, unless `fold` is AS_IS), and the number of words before each row.
 
     Rows of over BLOCK bytes are hashed in pieces that end between words, so memory follows the block, not the row.
     """
     if len(raw) <= BLOCK:
         cuts = np.unique(offsets[:-1])
         starts, hashes = _piece_words(raw, cuts[cuts < len(raw)], fold)
-        return hashes, np.searchsorted(starts, offsets)
+        return starts, hashes, np.searchsorted(starts, offsets)
     import hashlib
 
-    counts, out = [0], []
+    counts, out, begins = [0], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
         at, n = int(lo), 0
         while at < hi:
@@ -179,10 +179,17 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER)
                         end += 1
                     word = hashlib.blake2b(fold[raw[at:end]].tobytes(), digest_size=8).digest()
                     out.append(np.frombuffer(word, np.uint64))
+                    begins.append(np.array([at]))
                     n, at = n + 1, end
                     continue
-            _, hashes = _piece_words(raw[at:end], np.zeros(0, np.int64), fold)
+            starts, hashes = _piece_words(raw[at:end], np.zeros(0, np.int64), fold)
             out.append(hashes)
+            begins.append(starts + at)
             n, at = n + len(hashes), end
         counts.append(counts[-1] + n)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(counts, np.int64)
+    return np.concatenate(begins), np.concatenate(out), np.array(counts, np.int64)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """words_at without the places."""
+    return words_at(raw, offsets, fold)[1:]

@@ -84,3 +84,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return read_archives(write_archives(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.crf import judge, train
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
