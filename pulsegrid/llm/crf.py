@@ -1,8 +1,9 @@
 """Quality rules over lines: a linear-chain conditional random field marks content and boilerplate.
 
 A text's lines that have a word are labelled by Viterbi decoding; the share of words that stand in
-content lines decides whether a text that passes the base rules is kept. The field is trained on
-documents whose label stands for each of their lines. A null or empty text has no words and fails the
+content lines decides whether a text that passes the base rules is kept. Only documents are labelled:
+a good one's lines are content; of a bad one's, those that a logistic model of single lines takes for
+boilerplate are, the most likely one always. The field is trained on these labels. A null or empty text has no words and fails the
 base rules; so do texts of under 50 words and those where over half the words repeat.
 """
 
@@ -155,23 +156,48 @@ class Field:
         return out[::-1]
 
 
-def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, epochs: int = 150, rate: float = 0.05) -> Field:
-    """Adam on the log likelihood of the label sequences, all at once; every line of a row has the row's label. Long rows are cut into sequences."""
+def line_labels(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, epochs: int = 300, rate: float = 0.05) -> np.ndarray:
+    """A label for each line, from those of the rows. Each label has half of the weight in the model of single lines."""
+    row = np.repeat(np.arange(len(lines)), lines)
+    y = labels[row].astype(np.float64)
+    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    w, m, v = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
+    for t in range(1, epochs + 1):
+        g = features.T @ ((y - 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))) * share) - 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    gains = features @ w
+    out = ((y > 0) | (gains > 0)).astype(int)
+    at = np.cumsum(lines) - lines
+    some = lines > 0
+    least = np.minimum.reduceat(gains, at[some]) if some.any() else np.zeros(0)
+    worst = np.zeros(len(lines))
+    worst[some] = least
+    out[(y == 0) & (gains <= worst[row])] = 0
+    return out
+
+
+def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, epochs: int = 300, rate: float = 0.05) -> Field:
+    """Adam on the log likelihood of the label sequences, all at once; labels are the rows'. Long rows are cut into sequences."""
     at = np.cumsum(lines) - lines
-    cuts = [(a + k, min(FIT_LINES, n - k), y) for a, n, y in zip(at.tolist(), lines.tolist(), labels.tolist(), strict=True) for k in range(0, n, FIT_LINES)]
+    cuts = [(a + k, min(FIT_LINES, n - k)) for a, n in zip(at.tolist(), lines.tolist(), strict=True) for k in range(0, n, FIT_LINES)]
     w, start, step = np.zeros(WIDTH), np.zeros(2), np.zeros((2, 2))
-    if not cuts or len({y for *_, y in cuts}) < 2:
-        start[1] = 1.0 if not cuts or cuts[0][2] else -1.0
+    if not cuts or len(set(labels.tolist())) < 2:
+        start[1] = 1.0 if not cuts or labels[0] else -1.0
         return Field(w, start, step)
-    longest = max(n for _, n, _ in cuts)
+    scale = np.maximum(features.astype(np.float64).std(axis=0), 0.02)
+    scale[0] = 1
+    features = features / scale
+    per_line = line_labels(features, lines, labels)
+    longest = max(n for _, n in cuts)
     x = np.zeros((len(cuts), longest, WIDTH))
-    length, y = np.array([n for _, n, _ in cuts]), np.array([y for *_, y in cuts], int)
-    for i, (a, n, _) in enumerate(cuts):
-        x[i, :n] = features[a : a + n]
+    y = np.zeros((len(cuts), longest), int)
+    length = np.array([n for _, n in cuts])
+    for i, (a, n) in enumerate(cuts):
+        x[i, :n], y[i, :n] = features[a : a + n], per_line[a : a + n]
     inside = np.arange(longest) < length[:, None]
     params = [w, start, step]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    rows = np.arange(len(cuts))
     for t in range(1, epochs + 1):
         e = np.zeros((len(cuts), longest, 2))
         e[:, :, 1] = x @ w
@@ -185,20 +211,19 @@ def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, epochs: int
             to = e[:, k + 1] + bw[:, k + 1]
             bw[:, k] = np.where(inside[:, k + 1, None], np.logaddexp(step[:, 0] + to[:, :1], step[:, 1] + to[:, 1:]), 0)
         p = np.exp(fw + bw - z[:, None, None]) * inside[:, :, None]
-        truth = np.zeros_like(p)
-        truth[rows, :, y] = inside
-        g_w = np.einsum("ijk,ij->k", x, truth[:, :, 1] - p[:, :, 1]) / len(cuts) - 1e-3 * w
+        truth = np.stack([1 - y, y], axis=2) * inside[:, :, None]
+        g_w = np.einsum("ijk,ij->k", x, truth[:, :, 1] - p[:, :, 1]) / len(cuts) - 1e-4 * w
         g_start = (truth[:, 0] - p[:, 0]).mean(axis=0)
-        g_step = -2e-2 * step  # keeps labels of a text from being tied altogether
+        g_step = -2e-2 * step
         for k in range(1, longest):
             pair = np.exp(fw[:, k - 1, :, None] + step + (e[:, k] + bw[:, k])[:, None, :] - z[:, None, None]) * inside[:, k, None, None]
             g_step = g_step - pair.sum(axis=0) / len(cuts)
-            np.add.at(g_step, (y, y), inside[:, k] / len(cuts))
+            np.add.at(g_step, (y[:, k - 1], y[:, k]), inside[:, k] / len(cuts))
         for i, g in enumerate((g_w, g_start, g_step)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             params[i] += rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    return Field(w, start, step)
+    return Field(w / scale, start, step)
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
