@@ -92,3 +92,39 @@ def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.preferences import format_preferences, neighbours
+
+    out = format_preferences(neighbours(table(spark, sf_dir, "conversations")))
+    runs = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["length"], x["learned"].cast("int"))), ",")
+    return out.withColumn("chosen_mask", runs("chosen_mask")).withColumn("rejected_mask", runs("rejected_mask"))
+
+
+ORACLES["op2_preferences"] = r"""
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+     c AS (SELECT * FROM t WHERE side = 0), r AS (SELECT * FROM t WHERE side = 1),
+     m AS (SELECT pair_id, i, c.role IS NOT NULL AND r.role IS NOT NULL AND c.role = r.role AND c.text = r.text AS same
+           FROM c FULL JOIN r USING (pair_id, i)),
+     p AS (SELECT pair_id, coalesce(min(i) FILTER (WHERE same IS NOT TRUE) - 1, max(i)) AS n FROM m GROUP BY pair_id),
+     x AS (SELECT t.*, p.n, '<|start|>' || role || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM t JOIN p USING (pair_id)),
+     y AS (SELECT *, length(head) || ':0,' || length(body) || CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS mask FROM x)
+SELECT pair_id, min(conv_id) FILTER (WHERE side = 0) AS chosen_id, min(conv_id) FILTER (WHERE side = 1) AS rejected_id, min(n) AS n_prompt_turns,
+       coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 0 AND i <= n), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 0 AND i > n), '') AS chosen,
+       coalesce(string_agg(mask, ',' ORDER BY i) FILTER (WHERE side = 0 AND i > n), '') AS chosen_mask,
+       coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE side = 1 AND i > n), '') AS rejected,
+       coalesce(string_agg(mask, ',' ORDER BY i) FILTER (WHERE side = 1 AND i > n), '') AS rejected_mask
+FROM y GROUP BY pair_id HAVING count(*) FILTER (WHERE side = 0) > 0 AND count(*) FILTER (WHERE side = 1) > 0
+"""
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
