@@ -106,10 +106,10 @@ def _importance(items: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH i AS ({_IMPORTANCE}), p AS ({_PAIRS})
-SELECT DISTINCT CASE WHEN x.importance >= y.importance THEN p.b ELSE p.a END AS feature FROM p JOIN i x ON x.feature = p.a JOIN i y ON y.feature = p.b WHERE abs(r) >= 0.5""")
+SELECT DISTINCT CASE WHEN x.importance >= y.importance THEN p.b ELSE p.a END AS feature FROM p JOIN i x ON x.feature = p.a JOIN i y ON y.feature = p.b WHERE abs(r) >= 0.001""")
 def q08_correlated_losers(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    return selection.correlated_losers(selection.correlations(items, MEASURES), _importance(items), keep=(), least=0.5)
+    return selection.correlated_losers(selection.correlations(items, MEASURES), _importance(items), keep=(), least=0.001)
 
 
 @query(f"""WITH i AS ({_IMPORTANCE}) SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, feature) AS place FROM i QUALIFY place <= 3""")
@@ -225,10 +225,10 @@ def q22_complete_days(spark, sf_dir):
 
 
 @query(f"""WITH {_DAYS}, x AS (SELECT e.user_id, hour(ts) + minute(ts) / 60 + floor(second(ts)) / 3600 AS h, per_day, row_number() OVER (PARTITION BY e.user_id, e.ts::DATE ORDER BY ts, event_id) - 1 AS slot FROM events e JOIN d ON d.user_id = e.user_id AND d.date = e.ts::DATE)
-SELECT user_id, slot, round(avg(h), 5) AS hour, round(stddev_pop(h), 5) AS spread, count(*) AS days FROM x WHERE slot < per_day GROUP BY 1, 2""")
+SELECT user_id, slot, round(avg(h), 4) AS hour, round(stddev_pop(h), 4) AS spread, count(*) AS days FROM x WHERE slot < per_day GROUP BY 1, 2""")
 def q23_slots(spark, sf_dir):
     full = schedule.complete_days(schedule.dated(activations(spark, sf_dir))).withColumnRenamed("machine", "user_id").withColumn("machine", F.col("user_id"))
-    return schedule.slots(full).select(F.col("machine").alias("user_id"), "slot", F.round("hour", 5).alias("hour"), F.round("spread", 5).alias("spread"), "days")
+    return schedule.slots(full).select(F.col("machine").alias("user_id"), "slot", F.round("hour", 4).alias("hour"), F.round("spread", 4).alias("spread"), "days")
 
 
 @query(f"""WITH {_DAYS}, x AS (SELECT e.user_id, event_id, ts, d.date FROM events e JOIN d ON d.user_id = e.user_id AND d.date = e.ts::DATE),
