@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.config import LOO_PERCENTILE
 from pulsegrid.functions.quantiles import exact_quantiles
@@ -52,7 +53,7 @@ def scored(df: DataFrame, features: Sequence[str], score: Callable[[np.ndarray],
             x = np.column_stack([batch.column(columns.index(f)).to_numpy(zero_copy_only=False) for f in features]).astype(float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(x), pa.float64())], [*columns, name])
 
-    return df.mapInArrow(run, df.schema.add(name, "double") if name not in columns else df.schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 @dataclass(frozen=True)

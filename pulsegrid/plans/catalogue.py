@@ -225,7 +225,7 @@ def q22_complete_days(spark, sf_dir):
 
 
 @query(f"""WITH {_DAYS}, x AS (SELECT e.user_id, hour(ts) + minute(ts) / 60 + floor(second(ts)) / 3600 AS h, per_day, row_number() OVER (PARTITION BY e.user_id, e.ts::DATE ORDER BY ts, event_id) - 1 AS slot FROM events e JOIN d ON d.user_id = e.user_id AND d.date = e.ts::DATE)
-SELECT user_id, slot, round(avg(h), 4) AS hour, round(stddev_pop(h), 4) AS spread, count(*) AS days FROM x WHERE slot < per_day GROUP BY 1, 2""")
+SELECT user_id, slot, round(round(avg(h), 6), 4) AS hour, round(stddev_pop(h), 4) AS spread, count(*) AS days FROM x WHERE slot < per_day GROUP BY 1, 2""")
 def q23_slots(spark, sf_dir):
     full = schedule.complete_days(schedule.dated(activations(spark, sf_dir))).withColumnRenamed("machine", "user_id").withColumn("machine", F.col("user_id"))
     return schedule.slots(full).select(F.col("machine").alias("user_id"), "slot", F.round("hour", 4).alias("hour"), F.round("spread", 4).alias("spread"), "days")
