@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import MODELS, VOTES
 from pulsegrid.functions.columns import ratio
-from pulsegrid.operators.detectors import value_ranks
+from pulsegrid.functions.quantiles import exact_quantiles
+from pulsegrid.operators.detectors import fit_components, value_ranks
 
 
 def flag(score: Column, threshold: float | None) -> Column:
@@ -88,3 +89,30 @@ def detection_matrix(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame
     voted = with_votes(df, models).where("label = 'anomalous'")
     name = F.element_at(F.split(F.regexp_replace("file", r"\.[^.]*$", ""), "_"), -1)
     return voted.select(name.alias("clip"), *[f"flag_{m}" for m in models], "flag_vote")
+
+
+def pca_scatter(eval_rows: DataFrame, features: Sequence[str], flag_column: str) -> DataFrame:
+    """Two principal coordinates fitted on the normal rows of the evaluation, and what each point is drawn as."""
+    axes = fit_components(eval_rows.where("label = 'normal'"), features, 2)
+    anomalous, hit = F.col("label") == "anomalous", F.col(flag_column) == 1
+    kind = F.when(anomalous & hit, "detected").when(anomalous, "missed").when(hit, "false_positive").otherwise("normal")
+    return eval_rows.select("file", "label", axes.projection(0).alias("pc1"), axes.projection(1).alias("pc2"), kind.alias("kind"))
+
+
+def summary_table(results: DataFrame, models: Sequence[str] = MODELS, votes: int = VOTES) -> DataFrame:
+    """Metrics of each model and of the vote, with the area under each model's curve."""
+    have = [m for m in models if f"flag_{m}" in results.columns]
+    voted = with_votes(results, have, votes).withColumn("score_vote", F.col("vote_count").cast("double"))
+    rates = metrics(long_scores(voted, [*have, "vote"]))
+    areas = None
+    for m in have:
+        one = auc(results, f"score_{m}", F.col("label") == "anomalous").withColumn("model", F.lit(m))
+        areas = one if areas is None else areas.unionByName(one)
+    return rates.join(areas, "model", "left") if areas is not None else rates
+
+
+def patch_threshold(model: dict, normal: DataFrame, score: Column, share: float = 0.95) -> dict:
+    """The model with a threshold at `share` of the normal scores, if it had none; otherwise as it is."""
+    if model.get("threshold") is not None:
+        return model
+    return model | {"threshold": exact_quantiles(normal.select(score.alias("s")), ["s"], [share])["s"][0]}

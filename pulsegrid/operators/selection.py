@@ -72,3 +72,10 @@ def enough(features: Sequence[str], least: int = 3) -> list[str]:
     if len(features) < least:
         raise ValueError(f"only {len(features)} features selected")
     return list(features)
+
+
+def importance_states(importance: DataFrame, losers: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
+    """What the bars of the importance figure show: kept, correlated (gone for its partner) or unimportant."""
+    gone = losers.select("feature", F.lit(True).alias("gone"))
+    state = F.when(F.col("importance") < least, "unimportant").when(F.col("gone"), "correlated").otherwise("kept")
+    return importance.join(gone, "feature", "left").withColumn("state", state).drop("gone")

@@ -131,3 +131,14 @@ def test_regions(spark, raw):
     clips = raw.select("roi_x2", F.split("file", r"\.")[0].alias("key"))
     found, missed = files.with_regions(clips.withColumnRenamed("roi_x2", "own"), regions)
     assert missed.isEmpty() and found.count() == 110 and found.where("own <> roi_x2").isEmpty()
+
+
+def test_figure_tables(spark, held_out):
+    results = spark.read.option("header", True).option("inferSchema", True).csv(str(HOME / "evaluation/evaluation_results.csv"))
+    table = {r.model: r for r in evaluation.summary_table(results).collect()}
+    assert table["vote"].tp == 24 and table["vote"].false_positives == 2 and round(table["lof"].auc, 5) == 0.98656
+    points = evaluation.pca_scatter(held_out.join(results.select("file", "flag_lof"), "file"), SELECTED, "flag_lof")
+    assert {r.kind: r["count"] for r in points.groupBy("kind").count().collect()} == {"normal": 29, "false_positive": 2, "detected": 22, "missed": 2}
+    assert evaluation.patch_threshold({"threshold": 1.0}, held_out, F.col("motion_cv")) == {"threshold": 1.0}
+    matrix = evaluation.detection_matrix(results)
+    assert matrix.count() == 24 and matrix.where("flag_vote = 1").count() == 24
