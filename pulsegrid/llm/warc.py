@@ -30,6 +30,8 @@ from pulsegrid.llm.common import fresh_path, join_groups, written
 
 #: Bytes of a block beyond which it is segmented, of a chunk of the payload, of a batch given back.
 SEGMENT_BYTES, CHUNK, OUT_BYTES = 8192, 4096, 8 << 20
+#: Revisits (24 bytes each) that may be broadcast; beyond that pages are shuffled by their key.
+FEW_REVISITS = 500_000
 _URN = "urn:page:"
 _NAME = re.compile(rb"([^:\s]+):[ \t]*(.*)")
 
@@ -102,12 +104,14 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or fresh_path(spark, "warc")
     html = F.coalesce("html", F.lit(""))
     keyed = written(pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"), F.monotonically_increasing_id().alias("key")), "pages")
-    able = F.col("size") >= min_bytes
-    groups = written(keyed.where(able).groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
+    able = keyed.where(F.col("size") >= min_bytes).select("digest", "page_id", "key")
+    groups = able.groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = written(groups, "payloads")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    own = keyed.select("page_id", "url", "html", "key", F.when(able, F.col("digest")).alias("digest"))
-    rows = join_groups(own.where("digest is not null"), groups, "digest", "n", total).unionByName(own.where("digest is null"), allowMissingColumns=True)
-    rows = rows.select("page_id", "key", "url", "html", F.when(F.col("first.key") != F.col("key"), F.col("first")).alias("first"))
+    # only what is found again is looked up: ids, not pages, are shuffled
+    found = join_groups(able.select("digest", "key"), groups, "digest", "n", total).where(F.col("first.key") != F.col("key"))
+    revisits = written(found.select("key", "first"), "revisits")
+    rows = keyed.join(F.broadcast(revisits) if revisits.count() <= FEW_REVISITS else revisits, "key", "left").select("page_id", "key", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
