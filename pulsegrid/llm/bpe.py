@@ -175,18 +175,21 @@ class Vocabulary:
 
 
 class _Recent(dict):
-    """Packed ids of the strings met lately; emptied when full."""
+    """Packed ids of the strings met lately. When full, they become the older ones, of which those that are met again come back."""
 
-    FULL, LONG = 250_000, 64
+    FULL, LONG = 200_000, 64
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        packed = self.make(key)
+        packed = self.older.get(key)
+        if packed is None:
+            packed = self.make(key)
         if len(key) <= self.LONG:
             if len(self) >= self.FULL:
+                self.older = dict(self)
                 self.clear()
             self[key] = packed
         return packed
