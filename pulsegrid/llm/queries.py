@@ -128,3 +128,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.licences import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+     d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS hex, unhex(sha1(payload))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INT * (16 >> j)))::INT, 1)), '') AS payload_digest
+FROM d
+"""
