@@ -124,7 +124,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 3) -> Model:
     if share.count() <= MANY_LANGUAGES:
         share = F.broadcast(share)
     start = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.char_length("text") - FIT_CHARS + 1, F.lit(1))).cast("int") + 1
-    rows = able.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    rows = able.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 50)) < F.col("share") * (1 << 50))
     got = sorted(rows.select("doc_id", "lang", F.substr("text", start, F.lit(FIT_CHARS)).alias("text")).where("text is not null").collect())
     got = [r for r in got if has_letter(r[2])]
     langs = sorted({r[1] for r in got})

@@ -83,7 +83,7 @@ def bounded_sample(df: DataFrame, key: str, limit: int, n: int | None = None) ->
     n = df.count() if n is None else n
     if n <= limit:
         return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20)) < int(limit / n * (1 << 20)))
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 50)) < int(limit / n * (1 << 50)))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
