@@ -39,7 +39,7 @@ def sampled(df: DataFrame, features: Sequence[str], most: int = MOST_ROWS, seed:
     """The feature rows of df if there are no more than `most`, else about that many, chosen by a hash of their values."""
     n = df.count()
     if n > most:
-        df = df.where(F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+        df = df.where(F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1 << 50)) < int(most / n * (1 << 50)))
     rows = df.select(*[F.col(f).cast("double") for f in features]).limit(2 * most).collect()
     return np.array(sorted(map(tuple, rows)), float).reshape(-1, len(features))
 
