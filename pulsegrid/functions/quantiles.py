@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import known
 
 BINS, FEW = 2048, 4096
+#: Ranges that ordered values are dealt to.
+RANGES = 256
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
@@ -54,3 +56,20 @@ def _at_ranks(values: DataFrame, ranks: list[int], before: int, n: int, lo: floa
             out |= _at_ranks(values.where(F.col("v").between(least, most)), inside, at, count, least, most)
         at += count
     return out
+
+
+def range_of(values: DataFrame, column: str, ranges: int = RANGES) -> Column:
+    """The number of the range of `column` that a value lies in, in order; ranges hold about equal numbers of rows.
+
+    Bounds come from a sketch and are fixed from then on, so every use of the column deals alike. Nulls are in the first range.
+    """
+    found = values.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
+    bounds = sorted({float(b) for b in found if b == b})
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(column) >= F.lit(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(bounds))

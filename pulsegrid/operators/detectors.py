@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.config import LOO_PERCENTILE
-from pulsegrid.functions.quantiles import exact_quantiles
+from pulsegrid.functions.quantiles import exact_quantiles, range_of
 
 #: Rows that a detector which keeps rows may be fitted on (a documented bound: at 14 features 2 MB).
 MOST_ROWS = 20_000
@@ -330,10 +330,10 @@ def ecod(df: DataFrame, features: Sequence[str], key: str, name: str = "score")
 def value_ranks(values: DataFrame, column: str) -> DataFrame:
     """Per distinct value: how many rows have it, how many have no larger one (`up_to`) and how many no smaller one (`from`).
 
-    Counts are dealt by range of the value and written; totals of the ranges, one row each, are summed first.
+    Counts are dealt by range of the value; totals of the ranges, one row each, are summed first.
     """
     counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    dealt = counts.repartitionByRange(column).select(column, "n", F.spark_partition_id().alias("_part"))
+    dealt = counts.select(column, "n", range_of(values, column).alias("_part"))
     totals = dealt.groupBy("_part").agg(F.sum("n").alias("_all"))
     upward = Window.orderBy("_part")
     starts = totals.select("_part", (F.sum("_all").over(upward) - F.col("_all")).alias("_before"), F.sum("_all").over(Window.partitionBy(F.lit(0))).alias("_total"))

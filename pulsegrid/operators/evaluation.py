@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import MODELS, VOTES
 from pulsegrid.functions.columns import ratio
-from pulsegrid.functions.quantiles import exact_quantiles
+from pulsegrid.functions.quantiles import exact_quantiles, range_of
 from pulsegrid.operators.detectors import fit_components, value_ranks
 
 
@@ -55,8 +55,9 @@ def roc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     Cumulated over ranges of the score, so no task holds all scores.
     """
     clean = F.coalesce(F.when(~F.isnan(score), F.col(score)), F.lit(0.0))
-    counts = df.select(clean.alias("score"), positive.cast("long").alias("hit")).groupBy("score").agg(F.sum("hit").alias("p"), F.sum(1 - F.col("hit")).alias("n"))
-    dealt = counts.repartitionByRange(F.desc("score")).select("*", F.spark_partition_id().alias("_part"))
+    rows = df.select(clean.alias("score"), positive.cast("long").alias("hit"))
+    counts = rows.groupBy("score").agg(F.sum("hit").alias("p"), F.sum(1 - F.col("hit")).alias("n"))
+    dealt = counts.select("*", (-range_of(rows, "score")).alias("_part"))
     totals = dealt.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     before, everything = Window.orderBy("_part"), Window.partitionBy(F.lit(0))
     starts = totals.select("_part", *[(F.sum(c).over(before) - F.col(c)).alias(f"{c}0") for c in ("_p", "_n")], F.sum("_p").over(everything).alias("_P"), F.sum("_n").over(everything).alias("_N"))
