@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.columns import known
 
 BINS, FEW = 2048, 4096
-#: Ranges that ordered values are dealt to.
-RANGES = 256
+#: Ranges that ordered values are dealt to, and rows of a range at least.
+RANGES, RANGE_ROWS = 256, 10_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
@@ -63,8 +63,9 @@ def range_of(values: DataFrame, column: str, ranges: int = RANGES) -> Column:
 
     Bounds come from a sketch and are fixed from then on, so every use of the column deals alike. Nulls are in the first range.
     """
-    found = values.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
-    bounds = sorted({float(b) for b in found if b == b})
+    found, n = values.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10 * ranges), F.count(column)).first()
+    every = max(1, ranges * RANGE_ROWS // max(n, 1))
+    bounds = sorted({float(b) for b in (found or [])[every - 1 :: every] if b == b})
 
     def search(lo: int, hi: int) -> Column:
         if lo == hi:
