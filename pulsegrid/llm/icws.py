@@ -6,10 +6,12 @@ are counted over all documents in a table of TABLE counters. Samples are banded,
 in wide ones of WIDE bands each; a link is a weighted Jaccard similarity of LEAST or more, and classes
 are the connected components.
 
-Pairs in a bucket are not all compared. Every member is compared with the bucket's leader, the text
-whose shingles are most common, in small buckets with its neighbour in that order too, and then, where
-members are of several classes, with a second leader from outside the first one's class. So the pairs
-of a bucket grow with its members, whatever it holds.
+Every two members of a bucket of a band are compared or found in one class. First each is compared with
+the bucket's leader, the text whose shingles are most common, in small buckets with its neighbour in
+that order too, and then, where members are of several classes, with a second leader from outside the
+first one's class. Of buckets that still hold several classes, all members of different classes are
+compared, in cells of two parts of a bucket each: rows moved and comparisons grow with the square of
+what such a bucket holds, the rows in steps of CELL bytes.
 
 Texts of equal words are one text from the start. Texts without words are equal. Null texts are empty;
 rows with equal ids or without an id are rows of their own; all columns of the input are kept.
@@ -36,6 +38,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, WIDE = 12, 3, 3
 #: Members of a bucket up to which neighbours are compared.
 SMALL = 8
+#: Bytes of text in a part of a bucket (a text counts as LIGHT at least), and shared shingles that are multiplied out at once.
+CELL, LIGHT, TILE = 1 << 18, 1 << 10, 2048
 #: Counters of document frequencies, and how many of them go in one row.
 TABLE, PACK = 1 << 20, 1 << 14
 #: A shingle in one of RARE documents or fewer weighs 1 + LIFT, one in all documents 1.
@@ -175,12 +179,45 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return common / (total - common)
 
 
+def links_of_cell(sampler: Sampler, least: float, text: pa.Array, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, float]]:
+    """Of rows of different labels, one of `left` and one of `right` (row numbers): the pairs of `least` similarity or more.
+
+    The n-th occurrence of a shingle counts as a token, so what two texts have in common is a product of
+    0/1 matrices over the tokens of several rows; what comes near `least` is computed anew, exactly.
+    """
+    h, times, counts, _ = shingles(*text_buffer(text))
+    weights, bounds = sampler.weights(h, times), np.append(0, np.cumsum(counts))
+    total = np.add.reduceat(weights.astype(np.float64), bounds[:-1])
+    at = np.repeat(np.arange(len(h)), times)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+    _, token, seen = np.unique(mix64(h[at] + nth.astype(np.uint64) * _STEP), return_inverse=True, return_counts=True)
+    several = seen[token] > 1
+    token, row, each = (np.cumsum(seen > 1) - 1)[token[several]], np.repeat(np.arange(len(counts)), counts)[at[several]], (weights / times)[at[several]]
+    order = np.argsort(token, kind="stable")
+    token, row, each = token[order], row[order], each[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((seen > 1).sum()), TILE):
+        lo, hi = np.searchsorted(token, (first, first + TILE))
+        has, weight = np.zeros((len(counts), TILE), np.float32), np.zeros(TILE, np.float32)
+        has[row[lo:hi], token[lo:hi] - first] = 1
+        weight[token[lo:hi] - first] = each[lo:hi]
+        common += (has[left] * weight) @ has[right].T
+    like = common >= (least - 1e-3) * (total[left][:, None] + total[right][None, :] - common)
+    out = []
+    for i, j in zip(*np.nonzero(like & (label[left][:, None] != label[right][None, :])), strict=True):
+        a, b = sorted((int(left[i]), int(right[j])))
+        s = weighted_jaccard(*[(h[bounds[k] : bounds[k + 1]], weights[bounds[k] : bounds[k + 1]]) for k in (a, b)])
+        if s >= least:
+            out.append((a, b, s))
+    return sorted(set(out))
+
+
 class NearDuplicates:
     """Classes of near copies among docs. What is computed is written to the shared folder step by step."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> None:
         spark = docs.sparkSession
-        self.columns, self.id_col, self.text_col, self.least = docs.columns, id_col, text_col, least
+        self.columns, self.id_col, self.text_col, self.least, self.bands = docs.columns, id_col, text_col, least, bands
         sampler = Sampler.of(*document_frequencies(docs.select(text_col)), bands=bands, rows=rows)
         self.sampler = spark.sparkContext.broadcast(sampler)
         self.signed = self._sign(docs)
@@ -192,8 +229,8 @@ class NearDuplicates:
         self.texts = self._classes(labels)
 
     def _sign(self, docs: DataFrame) -> DataFrame:
-        """Each row of docs with its key, the print of its words, the mean weight of its shingles and its bands."""
-        kind = T.StructType([T.StructField("doc", docs.schema), *T.StructType.fromDDL("key long, print binary, common float, bands array<long>").fields])
+        """Each row of docs with its key, the print of its words, the mean weight of its shingles, its bytes and its bands."""
+        kind = T.StructType([T.StructField("doc", docs.schema), *T.StructType.fromDDL("key long, print binary, common float, bytes long, bands array<long>").fields])
         schema, shared = to_arrow_schema(kind), self.sampler
         text_at = self.columns.index(self.text_col)
 
@@ -216,7 +253,7 @@ class NearDuplicates:
                     sizes = np.where(has, width, 0)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(bands[has].reshape(-1), pa.int64()))
                     docs_part = batch.column(0).slice(lo, hi - lo).cast(schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([docs_part, pa.array(keys[lo:hi]), pa.array(prints, pa.binary()), pa.array(common), lists.cast(schema.field(4).type)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([docs_part, pa.array(keys[lo:hi]), pa.array(prints, pa.binary()), pa.array(common), pa.array(np.diff(offsets[lo : hi + 1])), lists.cast(schema.field(5).type)], schema=schema)
 
         path = fresh_path(docs.sparkSession, "near-signed")
         signed = docs.select(F.struct(*[F.col(f"`{c}`") for c in self.columns]).alias("doc")).mapInArrow(run, kind)
@@ -226,7 +263,7 @@ class NearDuplicates:
     def _link(self) -> tuple[DataFrame, DataFrame]:
         """Links (a, b, similarity) and what they connect (key, label)."""
         reps = self.groups.select(F.col("rep").alias("key"))
-        rows = written(self.signed.select("key", "common", F.explode("bands").alias("bucket")).join(reps, "key", "left_semi"), "near-buckets")
+        rows = written(self.signed.select("key", "common", "bytes", F.posexplode("bands").alias("band", "bucket")).join(reps, "key", "left_semi"), "near-buckets")
         place = F.struct("common", "key")
         heads = written(rows.groupBy("bucket").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
         total = rows.count()
@@ -246,20 +283,65 @@ class NearDuplicates:
         again = join_groups(others.drop("n"), written(second, "near-seconds"), "bucket", "size", total).where("label <> second.label").select("key", F.col("second.key").alias("leader"))
         more = written(self._verify(written(self._pairs(again).join(pairs, ["a", "b"], "left_anti"), "near-pairs")), "near-links")
         links = links.union(more)
+        rest = written(self._rest(rows, components(links), total), "near-links")
+        links = links.union(rest)
         return links, components(links)
 
+    def _rest(self, rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+        """Links between classes that share a bucket, of all members. Wide buckets lie within others; of buckets with the same members one is taken."""
+        own = rows.where(F.col("band") < self.bands).join(labels, "key", "left").select("key", "bucket", "bytes", F.coalesce("label", "key").alias("label"))
+        own = written(own, "near-own")
+        members = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
+        mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.greatest("bytes", F.lit(LIGHT))).alias("bytes"), *members)
+        # the members of smaller ones have all been compared with leaders
+        mixed = mixed.where("x <> y and n > 3").groupBy("n", "bytes", "members1", "members2").agg(F.min("bucket").alias("bucket"))
+        mixed = written(mixed.select("bucket", "n", F.ceil(F.col("bytes") / CELL).alias("parts")), "near-heads")
+        placed = join_groups(own, mixed, "bucket", "n", total).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+        placed = placed.select("key", "label", "bucket", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+        cells = written(placed.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "key", "label"), "near-cells")
+        dealt = cells.join(self._texts(cells.select("key").distinct()), "key").select("bucket", "low", "high", "part", "key", "label", "text")
+        dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        shared, least = self.sampler, self.least
+
+        def links(cell: pa.Table) -> pa.RecordBatch:
+            low, high, part, key, label = (cell.column(c).to_numpy() for c in ("low", "high", "part", "key", "label"))
+            text = pa.concat_arrays(cell.column("text").chunks)
+            found = links_of_cell(shared.value, least, text, label, np.flatnonzero(part == low), np.flatnonzero(part == high))
+            pairs = [(*sorted((int(key[a]), int(key[b]))), s) for a, b, s in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            open_, of = [], None
+            for batch in batches:
+                places = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+                starts = np.append(np.append(0, np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1), len(places)) if len(places) else np.zeros(1, int)
+                for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    if open_ and tuple(places[lo]) != of:
+                        yield links(pa.Table.from_batches(open_))
+                        open_ = []
+                    open_.append(batch.slice(lo, hi - lo))
+                    of = tuple(places[lo])
+            if open_:
+                yield links(pa.Table.from_batches(open_))
+
+        return dealt.mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
     @staticmethod
     def _pairs(led: DataFrame) -> DataFrame:
         """Distinct pairs a < b of (key, leader), and whether a leads."""
         known = led.where("leader is not null and leader <> key")
         return known.groupBy(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).agg(F.max(F.col("leader") < F.col("key")).alias("a_leads"))
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of `least` similarity or more. Each leader's shingles are made once for the pairs of it that follow each other."""
+    def _texts(self, keys: DataFrame, most: int | None = None) -> DataFrame:
+        """Texts (key, text), without those whose key is not among keys (of which there are `most` at most) where these are few."""
         texts = self.signed.select("key", F.col("doc")[self.text_col].alias("text"))
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        if 2 * pairs.count() <= FILTER_KEYS or keys.count() <= FILTER_KEYS:
+        if most is not None and most <= FILTER_KEYS or keys.count() <= FILTER_KEYS:
             texts = texts.join(F.broadcast(keys), "key", "left_semi")
+        return texts
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of `least` similarity or more. Each leader's shingles are made once for the pairs of it that follow each other."""
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * pairs.count())
         led = pairs.select(F.when(F.col("a_leads"), F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("a_leads"), F.col("b")).otherwise(F.col("a")).alias("member"))
         with_member = led.join(texts.select(F.col("key").alias("member"), F.col("text").alias("member_text")), "member")
         both = with_member.join(texts.select(F.col("key").alias("leader"), F.col("text").alias("leader_text")), "leader")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from tests.llm.texts import TEXTS, docs
 
+from pulsegrid.llm import icws
 from pulsegrid.llm.common import text_buffer
 from pulsegrid.llm.components import components
 from pulsegrid.llm.icws import RARE, Sampler, NearDuplicates, document_frequencies, shingles, weighted_jaccard
@@ -102,6 +103,16 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert max(r.class_texts for r in got) >= 0.9 * largest
 
 
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(icws, "CELL", 1 << 14)  # several parts in a bucket
+    shared, base = " ".join(words(100, 999)), words(200, 5)
+    pairs = [(2 * f + k, shared + " " + edited(words(40, f), 0.0 if k == 0 else 0.08, 5000 + f)) for f in range(60) for k in (0, 1)]
+    family = [(1000 + i, edited(base, 0.0 if i == 37 else 0.012, i)) for i in range(240)]
+    for texts in (pairs, family):
+        got = NearDuplicates(docs(spark, texts)).classes().collect()
+        assert sorted(Counter(r.class_id for r in got).values()) == sorted(brute_classes(texts).values())
+
+
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
 def test_samples_agree_as_often_as_weights_overlap(share):
     rng = np.random.default_rng(1)
