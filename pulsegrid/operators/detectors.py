@@ -361,8 +361,19 @@ def _loo_one(rows: np.ndarray, i: int, model: str) -> float:
 
 
 def leave_one_out(df: DataFrame, features: Sequence[str], model: str, share: float = LOO_PERCENTILE) -> tuple[float, DataFrame]:
-    """The threshold at `share` of the left-out scores, and the scores (fold, score). Every fold is a row of a job over the broadcast (bounded) rows."""
+    """The threshold at `share` of the left-out scores, and the scores (fold, score).
+
+    Mahalanobis scores are those of all rows, from the moments without the row (a rank-one downdate). Of
+    other detectors every fold is a row of a job over the broadcast (bounded) rows.
+    """
     spark = df.sparkSession
+    if model == "mahalanobis":
+        n, mean, cov = moments(df, features)
+        if n > 2:
+            own = Ellipsoid(tuple(features), mean, np.linalg.pinv(cov * (n - 1) / (n - 2) + 1e-6 * np.eye(len(features))), True).column()
+            left_out = F.sqrt(F.greatest(own / (1 - own * (n / (n - 1) / (n - 2))), F.lit(0.0))) * (n / (n - 1))
+            folds = df.select(F.monotonically_increasing_id().alias("fold"), left_out.alias("score"))
+            return exact_quantiles(folds, ["score"], [share])["score"][0], folds
     rows = sampled(df, features)
     shared = spark.sparkContext.broadcast(rows)
 

@@ -134,6 +134,19 @@ def test_chi2_quantile():
     assert abs(detectors.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(detectors.chi2_quantile(0.5, 14) - 13.339274) < 1e-5
 
 
+def test_left_out_scores_are_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    few = rng.normal(size=(40, 3))
+    threshold, folds = detectors.leave_one_out(spark.createDataFrame(few.tolist(), "a double, b double, c double"), ["a", "b", "c"], "mahalanobis", 0.9)
+    want = [detectors._loo_one(few, i, "mahalanobis") for i in range(len(few))]
+    assert np.allclose(sorted(r.score for r in folds.collect()), sorted(want), rtol=1e-9) and abs(threshold - np.quantile(want, 0.9)) < 1e-9
+    x, n = rng.standard_exponential(detectors.MOST_ROWS + 5000), detectors.MOST_ROWS + 5000
+    mean = (x.sum() - x) / (n - 1)
+    var = ((x * x).sum() - x * x - (n - 1) * mean**2) / (n - 2)
+    threshold, folds = detectors.leave_one_out(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"], "mahalanobis")
+    assert folds.count() == n and abs(threshold - np.quantile(np.abs(x - mean) / np.sqrt(var + 1e-6), 0.99)) < 1e-8
+
+
 def test_flags_without_a_threshold(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "s double")
     assert [r.f for r in df.select(evaluation.flag(F.col("s"), None).alias("f")).collect()] == [0, 0]
