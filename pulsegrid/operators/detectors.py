@@ -36,11 +36,16 @@ def moments(df: DataFrame, features: Sequence[str]) -> tuple[int, np.ndarray, np
 
 
 def sampled(df: DataFrame, features: Sequence[str], most: int = MOST_ROWS, seed: int = 42) -> np.ndarray:
-    """The feature rows of df if there are no more than `most`, else about that many, chosen by a hash of their values."""
+    """The feature rows of df if there are no more than `most`, else about that many, chosen by a hash of their values and, of equal rows, their number."""
     n = df.count()
+    df = df.select(*[F.col(f).cast("double").alias(f) for f in features])
     if n > most:
-        df = df.where(F.pmod(F.xxhash64(*features, F.lit(seed)), F.lit(1 << 50)) < int(most / n * (1 << 50)))
-    rows = df.select(*[F.col(f).cast("double") for f in features]).limit(2 * most).collect()
+        # equal rows are alike, so which of them is the i-th does not matter
+        copies = df.groupBy(*features).agg(F.count(F.lit(1)).alias("_n"))
+        runs = copies.select(*features, "_n", F.explode(F.expr("sequence(0L, _n - 1, 4096L)")).alias("_from"))
+        copies = runs.select(*features, F.explode(F.expr("sequence(_from, least(_from + 4095, _n - 1))")).alias("_i"))
+        df = copies.where(F.pmod(F.xxhash64(*features, "_i", F.lit(seed)), F.lit(1 << 50)) < int(most / n * (1 << 50))).select(*features)
+    rows = df.collect()
     return np.array(sorted(map(tuple, rows)), float).reshape(-1, len(features))
 
 

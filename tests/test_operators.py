@@ -147,6 +147,13 @@ def test_left_out_scores_are_of_all_rows(spark):
     assert folds.count() == n and abs(threshold - np.quantile(np.abs(x - mean) / np.sqrt(var + 1e-6), 0.99)) < 1e-8
 
 
+def test_samples_hold_copies_in_proportion(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
+    got = detectors.sampled(df, ["x"], 3000)
+    assert abs(len(got) - 3000) < 300 and abs((got == 0).mean() - 1 / 3) < 0.05
+    assert (got == detectors.sampled(df.repartition(7), ["x"], 3000)).all()
+
+
 def test_flags_without_a_threshold(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "s double")
     assert [r.f for r in df.select(evaluation.flag(F.col("s"), None).alias("f")).collect()] == [0, 0]
