@@ -11,8 +11,11 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsegrid.config import Sessions
@@ -94,21 +97,30 @@ def recordings(frames: DataFrame, rule: Sessions = Sessions(), late: str = "10 s
 
 
 def recordings_of(frames: DataFrame, rule: Sessions = Sessions()) -> DataFrame:  # noqa: B008
-    """The same of a table: a series is folded in order, and what is open at its end is closed."""
-    kind = frames.schema["machine"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, closed = fresh(), []
-        pdf = pdf.sort_values("t", kind="stable")
-        for t, active in zip(pdf["t"], pdf["active"], strict=True):
-            if (c := step(state, float(t), bool(active), rule)) is not None:
-                closed.append(c)
+    """The same of a table: a series is folded in order, batch by batch, and what is open at its end is closed."""
+    schema = T.StructType([T.StructField("machine", frames.schema["machine"].dataType), *T.StructType.fromDDL("start_s double, end_s double, n long").fields])
+    arrow = to_arrow_schema(schema)
+
+    def record(closed: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c[j] for c in closed], arrow.field(j).type) for j in range(4)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = fresh(), None
+        for batch in batches:
+            closed = []
+            for machine, t, active in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if machine != last:
+                    if state["start"] is not None:
+                        closed.append((last, state["start"], state["last"], state["n"]))
+                    state, last = fresh(), machine
+                if (c := step(state, t, bool(active), rule)) is not None:
+                    closed.append((machine, c["start"], c["end"], c["n"]))
+            yield record(closed)
         if state["start"] is not None:
-            closed.append({"start": state["start"], "end": state["last"], "n": state["n"]})
-        return pd.DataFrame({"machine": [pdf["machine"].iloc[0]] * len(closed), "start_s": [c["start"] for c in closed], "end_s": [c["end"] for c in closed], "n": [c["n"] for c in closed]})
+            yield record([(last, state["start"], state["last"], state["n"])])
 
     timed = frames.select("machine", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "active")
-    return timed.groupBy("machine").applyInPandas(run, f"machine {kind}, start_s double, end_s double, n long")
+    return timed.repartition("machine").sortWithinPartitions("machine", "t").mapInArrow(run, schema)
 
 
 class _Checker(StatefulProcessor):

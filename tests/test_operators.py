@@ -185,6 +185,26 @@ def test_streamed_recordings_equal_the_table(spark, tmp_path):
     assert got == want and len(got) > 4
 
 
+def test_recordings_carry_over_batches(spark):
+    rows, rule = frames_of(spark), Sessions(confirm=3, gap_s=4, longest_s=25, cooldown_s=1)
+    want = []
+    for m in (1, 2):
+        state = monitor.fresh()
+        for t, on in [((ts - dt.datetime(1970, 1, 1)).total_seconds(), on) for k, ts, on in rows if k == m]:
+            if (c := monitor.step(state, t, on, rule)) is not None:
+                want.append((m, c["start"], c["end"], c["n"]))
+        if state["start"] is not None:
+            want.append((m, state["start"], state["last"], state["n"]))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 37)
+    try:
+        out = monitor.recordings_of(spark.createDataFrame(rows, "machine int, ts timestamp, active boolean").orderBy(F.rand(3)), rule)
+        assert "InPandas" not in out._jdf.queryExecution().toString()  # no whole series as a frame
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        spark.conf.unset(size)
+
+
 def test_streamed_schedule_check_equals_the_table(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(1, d * 10 + k, base + dt.timedelta(days=d, hours=6 + 3 * k, seconds=(7 * d + k) % 5 + (4000 if (d, k) == (8, 1) else 0)), 40.0 + (d % 3) / 10 + (9 if (d, k) == (9, 2) else 0)) for d in range(10) for k in range(4)]
