@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,30 @@ def shared_dir(spark: SparkSession) -> str:
     return got.rstrip("/")
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that are made in the shared folder meanwhile, so that their maker can delete them when nothing reads them any more."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +75,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys (8 bytes each) that may be broadcast; beyond that the rows are shuffled by their key.
+FEW_KEYS = 1_000_000
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", most: int | None = None) -> DataFrame:
+    """rows with a key among `keys` (or without, by left_anti). keys are counted and broadcast if they are few, as they are if `most` bounds them."""
+    few = (keys.count() if most is None or most > FEW_KEYS else most) <= FEW_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, key, how)
+
+
 def row_keys(count: int, at: int) -> np.ndarray:
     """Keys of `count` rows from the task's row `at` on; no two rows of a job share one. They are kept by writing the job's rows."""
     from pyspark import TaskContext

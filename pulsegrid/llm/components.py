@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import delete, noted, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,18 +13,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round a key takes the least label among its neighbours', then its label's label, until none
     changes; the number of rounds follows the logarithm of the longest path. Links to a hub are
-    summed up before they are shuffled; each round is written, so a lost executor loses no round.
+    summed up before they are shuffled; each round is written, so a lost executor loses no round,
+    and the one before is deleted.
     """
-    links = links.select("a", "b").where("a <> b")
-    both = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("label")), "labels")
-    total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    while total is not None:
-        near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("key") == F.col("a")).select("key", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("key").alias("next"), F.col("label").alias("further"))
-        labels = written(step.join(jump, "next").select("key", F.least("next", "further").alias("label")), "labels")
-        if (now := labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]) == total:
-            break
-        total = now
+    spark, links = links.sparkSession, links.select("a", "b").where("a <> b")
+    with noted() as paths:
+        both = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+        labels = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("label")), "labels")
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        while total is not None:
+            near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
+            step = labels.join(near, F.col("key") == F.col("a")).select("key", F.least("label", "near").alias("next"))
+            jump = labels.select(F.col("key").alias("next"), F.col("label").alias("further"))
+            labels = written(step.join(jump, "next").select("key", F.least("next", "further").alias("label")), "labels")
+            delete(spark, paths.pop(-2))
+            if (now := labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]) == total:
+                break
+            total = now
+        delete(spark, paths[0])
     return labels
