@@ -49,9 +49,9 @@ def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pulsegrid.llm.gracededup import Grouped
+    from pulsegrid.llm.gracededup import decisions
 
-    return Grouped(table(spark, sf_dir, "documents").select("doc_id", "text")).decisions()
+    return decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLES["op8_grace_dedup"] = r"""
