@@ -2,16 +2,16 @@
 
 A text is the weighted set of its shingles of SHINGLE words (letters A-Z lower-cased; of a shorter text
 all words are one shingle): how often it has one, times its inverse document frequency. Frequencies
-are counted over all documents in a table of TABLE counters. Samples are banded, in bands of ROWS and
-in wide ones of WIDE bands each; a link is a weighted Jaccard similarity of LEAST or more, and classes
-are the connected components.
+are counted over all documents in a table of TABLE counters. Rarity ends at 1 document in RARE, so what
+else falls on a counter (documents times shingles of a document / TABLE, a fixed share of the documents
+however many there are) stays below that for documents of up to TABLE / RARE shingles on average.
+Samples are banded; a link is a weighted Jaccard similarity of LEAST or more, and classes are the
+connected components.
 
 Every two members of a bucket of a band are compared or found in one class. First each is compared with
-the bucket's leader, the text whose shingles are most common, in small buckets with its neighbour in
-that order too, and then, where members are of several classes, with a second leader from outside the
-first one's class. Of buckets that still hold several classes, all members of different classes are
-compared, in cells of two parts of a bucket each: rows moved and comparisons grow with the square of
-what such a bucket holds, the rows in steps of CELL bytes.
+the bucket's leader, the text whose shingles are most common. Of buckets that still hold several classes,
+all members of different classes are compared, in cells of two parts of a bucket each: rows moved and
+comparisons grow with the square of what such a bucket holds, the rows in steps of CELL bytes.
 
 Texts of equal words are one text from the start. Texts without words are equal. Null texts are empty;
 rows with equal ids or without an id are rows of their own; all columns of the input are kept.
@@ -31,21 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulsegrid.llm.common import blocks, fresh_path, join_groups, mix64, row_keys, text_buffer, word_hashes, written
+from pulsegrid.llm.common import blocks, by_keys, fresh_path, join_groups, mix64, row_keys, text_buffer, word_hashes, written
 from pulsegrid.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, WIDE = 12, 3, 3
-#: Members of a bucket up to which neighbours are compared.
-SMALL = 8
+BANDS, ROWS = 12, 3
 #: Bytes of text in a part of a bucket (a text counts as LIGHT at least), and shared shingles that are multiplied out at once.
 CELL, LIGHT, TILE = 1 << 18, 1 << 10, 2048
 #: Counters of document frequencies, and how many of them go in one row.
 TABLE, PACK = 1 << 20, 1 << 14
 #: A shingle in one of RARE documents or fewer weighs 1 + LIFT, one in all documents 1.
 RARE, LIFT = 1000, 0.25
-#: Keys that may be broadcast to leave out the texts that nothing is compared with (8 bytes each); beyond that all texts are shuffled.
-FILTER_KEYS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,7 +107,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
 
 @dataclass
 class Sampler:
-    """ln_idf: logarithm of each counter's weight. The other tables give a hash's share of gamma and uniform variates."""
+    """idf: each counter's weight. The other tables give a hash's share of gamma and uniform variates."""
 
     idf: np.ndarray
     bands: int = BANDS
@@ -125,9 +121,9 @@ class Sampler:
         self.seeds = rng.integers(1, 1 << 63, self.bands * self.rows, dtype=np.uint64) | np.uint64(1)
 
     @classmethod
-    def of(cls, n: int, frequencies: np.ndarray, **more: int) -> Sampler:
+    def of(cls, n: int, frequencies: np.ndarray, lift: float = LIFT, **more: int) -> Sampler:
         rarity = np.log(np.clip(n / np.maximum(frequencies, 1), 1, RARE)) / np.log(RARE)
-        return cls((1 + LIFT * rarity).astype(np.float32), **more)
+        return cls((1 + lift * rarity).astype(np.float32), **more)
 
     def weights(self, h: np.ndarray, times: np.ndarray) -> np.ndarray:
         return times.astype(np.float32) * self.idf[(h % np.uint64(TABLE)).astype(np.int64)]
@@ -152,20 +148,14 @@ class Sampler:
         return out
 
     def signatures(self, h: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each band, then of each WIDE bands together, of the rows with shingles."""
+        """A 64-bit hash of each band of the rows with shingles."""
         bits = self.samples(h, weights, counts).view(np.uint32).astype(np.uint64).reshape(self.bands, self.rows, -1)
-        wide = self.bands // WIDE
-        out = np.empty((len(counts), self.bands + wide), np.uint64)
+        out = np.empty((len(counts), self.bands), np.uint64)
         for b in range(self.bands):
             x = np.full(len(counts), b + 1, np.uint64)
             for j in range(self.rows):
                 x = mix64(x * _STEP + bits[b, j])
             out[:, b] = x
-        for w in range(wide):
-            x = np.full(len(counts), self.bands + w + 1, np.uint64)
-            for j in range(WIDE):
-                x = mix64(x * _STEP + out[:, w * WIDE + j])
-            out[:, self.bands + w] = x
         return out.view(np.int64)
 
 
@@ -213,13 +203,18 @@ def links_of_cell(sampler: Sampler, least: float, text: pa.Array, label: np.ndar
 
 
 class NearDuplicates:
-    """Classes of near copies among docs. What is computed is written to the shared folder step by step."""
+    """Classes of near copies among docs. What is computed is written to the shared folder step by step.
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> None:
+    lift: how much more than a shingle of all documents a rare one weighs; math.log(RARE) is the undamped
+    logarithm, at which many copies of one text stop being near copies for a few edits, as what they share
+    is common by their own number.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, lift: float = LIFT) -> None:
         spark = docs.sparkSession
         self.columns, self.id_col, self.text_col, self.least, self.bands = docs.columns, id_col, text_col, least, bands
-        sampler = Sampler.of(*document_frequencies(docs.select(text_col)), bands=bands, rows=rows)
-        self.sampler = spark.sparkContext.broadcast(sampler)
+        self.n_rows, frequencies = document_frequencies(docs.select(text_col))
+        self.sampler = spark.sparkContext.broadcast(Sampler.of(self.n_rows, frequencies, lift, bands=bands, rows=rows))
         self.signed = self._sign(docs)
         doc_id = F.col("doc")[id_col]
         best = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.col("key").alias("key"))
@@ -229,8 +224,8 @@ class NearDuplicates:
         self.texts = self._classes(labels)
 
     def _sign(self, docs: DataFrame) -> DataFrame:
-        """Each row of docs with its key, the print of its words, the mean weight of its shingles, its bytes and its bands."""
-        kind = T.StructType([T.StructField("doc", docs.schema), *T.StructType.fromDDL("key long, print binary, common float, bytes long, bands array<long>").fields])
+        """Each row of docs with its key, the print of its words, the mean and the sum of its shingles' weights, its bytes and its bands."""
+        kind = T.StructType([T.StructField("doc", docs.schema), *T.StructType.fromDDL("key long, print binary, common float, weight double, bytes long, bands array<long>").fields])
         schema, shared = to_arrow_schema(kind), self.sampler
         text_at = self.columns.index(self.text_col)
 
@@ -243,17 +238,18 @@ class NearDuplicates:
                 for lo, hi in blocks(offsets):
                     h, times, counts, prints = shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     weights, has = sampler.weights(h, times), counts > 0
-                    width = sampler.bands + sampler.bands // WIDE
-                    bands = np.zeros((hi - lo, width), np.int64)
-                    common = np.zeros(hi - lo, np.float32)
+                    bands = np.zeros((hi - lo, sampler.bands), np.int64)
+                    common, total = np.zeros(hi - lo, np.float32), np.zeros(hi - lo)
                     if has.any():
                         bands[has] = sampler.signatures(h, weights, counts[has])
                         starts = np.cumsum(counts[has]) - counts[has]
                         common[has] = np.add.reduceat((weights / times).astype(np.float64), starts) / counts[has]
-                    sizes = np.where(has, width, 0)
+                        total[has] = np.add.reduceat(weights.astype(np.float64), starts)
+                    sizes = np.where(has, sampler.bands, 0)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(bands[has].reshape(-1), pa.int64()))
                     docs_part = batch.column(0).slice(lo, hi - lo).cast(schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([docs_part, pa.array(keys[lo:hi]), pa.array(prints, pa.binary()), pa.array(common), pa.array(np.diff(offsets[lo : hi + 1])), lists.cast(schema.field(5).type)], schema=schema)
+                    columns = [docs_part, pa.array(keys[lo:hi]), pa.array(prints, pa.binary()), pa.array(common), pa.array(total), pa.array(np.diff(offsets[lo : hi + 1])), lists.cast(schema.field(6).type)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
         path = fresh_path(docs.sparkSession, "near-signed")
         signed = docs.select(F.struct(*[F.col(f"`{c}`") for c in self.columns]).alias("doc")).mapInArrow(run, kind)
@@ -262,39 +258,30 @@ class NearDuplicates:
 
     def _link(self) -> tuple[DataFrame, DataFrame]:
         """Links (a, b, similarity) and what they connect (key, label)."""
-        reps = self.groups.select(F.col("rep").alias("key"))
-        rows = written(self.signed.select("key", "common", "bytes", F.posexplode("bands").alias("band", "bucket")).join(reps, "key", "left_semi"), "near-buckets")
-        place = F.struct("common", "key")
-        heads = written(rows.groupBy("bucket").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
-        total = rows.count()
-        members = join_groups(rows, heads, "bucket", "n", total).where("n > 1")
-        star = members.select("key", F.col("head.key").alias("leader"))
-        beside = F.lag("key").over(Window.partitionBy("bucket").orderBy("common", "key"))
-        near = members.where(F.col("n").between(4, SMALL)).select("key", beside.alias("leader"))
-        pairs = written(self._pairs(star.union(near)), "near-pairs")
+        several = self.groups.where("n > 1").select("print", "rep", "n")
+        repeated = join_groups(self.signed.select("key", "print"), several, "print", "n", self.n_rows).where("key <> rep").select("key")
+        repeated = written(repeated, "near-repeated")
+        rows = by_keys(self.signed.select("key", "common", "weight", "bytes", F.explode("bands").alias("bucket")), repeated, "key", "left_anti")
+        total = self.groups.count() * self.bands
+        heads = rows.groupBy("bucket").agg(F.min(F.struct("common", "key", "weight")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        heads = written(heads, "near-heads")
+        members = written(join_groups(rows.select("key", "weight", "bytes", "bucket"), heads, "bucket", "n", total), "near-members")
+        # the lighter text can't have more in common with the other than its own weight
+        able = F.least("weight", "head.weight") >= (self.least - 1e-6) * F.greatest("weight", "head.weight")
+        pairs = written(self._pairs(members.where(able).select("key", F.col("head.key").alias("leader"))), "near-pairs")
         links = written(self._verify(pairs), "near-links")
-        labels = components(links)
-
-        own = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("common", "key", "label")).alias("head"), F.count(F.lit(1)).alias("n")).where("x <> y").select("bucket", "head", "n")
-        own, mixed = written(own, "near-own"), written(mixed, "near-heads")
-        others = written(join_groups(own, mixed, "bucket", "n", total), "near-mixed")
-        second = others.where("label <> head.label").groupBy("bucket").agg(F.min(F.struct("common", "key", "label")).alias("second"), F.max("n").alias("size"))
-        again = join_groups(others.drop("n"), written(second, "near-seconds"), "bucket", "size", total).where("label <> second.label").select("key", F.col("second.key").alias("leader"))
-        more = written(self._verify(written(self._pairs(again).join(pairs, ["a", "b"], "left_anti"), "near-pairs")), "near-links")
-        links = links.union(more)
-        rest = written(self._rest(rows, components(links), total), "near-links")
+        rest = written(self._rest(members, components(links), total), "near-links")
         links = links.union(rest)
         return links, components(links)
 
-    def _rest(self, rows: DataFrame, labels: DataFrame, total: int) -> DataFrame:
-        """Links between classes that share a bucket, of all members. Wide buckets lie within others; of buckets with the same members one is taken."""
-        own = rows.where(F.col("band") < self.bands).join(labels, "key", "left").select("key", "bucket", "bytes", F.coalesce("label", "key").alias("label"))
+    def _rest(self, members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+        """Links between classes that share a bucket, of all members. Of buckets with the same members one is taken."""
+        own = members.join(labels, "key", "left").select("key", "bucket", "bytes", F.coalesce("label", "key").alias("label"))
         own = written(own, "near-own")
-        members = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.greatest("bytes", F.lit(LIGHT))).alias("bytes"), *members)
-        # the members of smaller ones have all been compared with leaders
-        mixed = mixed.where("x <> y and n > 3").groupBy("n", "bytes", "members1", "members2").agg(F.min("bucket").alias("bucket"))
+        same = [F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2)]
+        mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"), F.sum(F.greatest("bytes", F.lit(LIGHT))).alias("bytes"), *same)
+        # the members of a bucket of two have been compared
+        mixed = mixed.where("x <> y and n > 2").groupBy("n", "bytes", "members1", "members2").agg(F.min("bucket").alias("bucket"))
         mixed = written(mixed.select("bucket", "n", F.ceil(F.col("bytes") / CELL).alias("parts")), "near-heads")
         placed = join_groups(own, mixed, "bucket", "n", total).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
         placed = placed.select("key", "label", "bucket", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
@@ -333,11 +320,8 @@ class NearDuplicates:
         return known.groupBy(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).agg(F.max(F.col("leader") < F.col("key")).alias("a_leads"))
 
     def _texts(self, keys: DataFrame, most: int | None = None) -> DataFrame:
-        """Texts (key, text), without those whose key is not among keys (of which there are `most` at most) where these are few."""
-        texts = self.signed.select("key", F.col("doc")[self.text_col].alias("text"))
-        if most is not None and most <= FILTER_KEYS or keys.count() <= FILTER_KEYS:
-            texts = texts.join(F.broadcast(keys), "key", "left_semi")
-        return texts
+        """Texts (key, text) of the keys, of which there are `most` at most."""
+        return by_keys(self.signed.select("key", F.col("doc")[self.text_col].alias("text")), keys, "key", "left_semi", most)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of `least` similarity or more. Each leader's shingles are made once for the pairs of it that follow each other."""
@@ -378,11 +362,11 @@ class NearDuplicates:
 
     def classes(self) -> DataFrame:
         """Per row of docs: its id, class_id (the least id of its class), class_size (rows), class_texts (different texts)."""
-        total = self.groups.agg(F.sum("n")).first()[0] or 0
         rows = self.signed.select(F.col("doc")[self.id_col].alias(self.id_col), "print")
-        return join_groups(rows, self.texts.drop("label", "keep"), "print", "n", total).select(self.id_col, "class_id", "class_size", "class_texts")
+        return join_groups(rows, self.texts.drop("label", "keep"), "print", "n", self.n_rows).select(self.id_col, "class_id", "class_size", "class_texts")
 
     def kept(self) -> DataFrame:
-        """One row of each class, that with the least id, with docs' own columns."""
-        firsts = self.texts.select("keep").distinct()
-        return self.signed.join(firsts, F.col("key") == F.col("keep"), "left_semi").select(*[F.col("doc")[c].alias(c) for c in self.columns])
+        """One row of each class, that with the least id, with docs' own columns. The rows that go are looked up, not those that stay."""
+        slim = self.signed.select("key", "print")
+        gone = join_groups(slim, self.texts.select("print", "n", "keep"), "print", "n", self.n_rows).where("key <> keep").select("key")
+        return by_keys(self.signed, written(gone, "near-gone"), "key", "left_anti").select(*[F.col("doc")[c].alias(c) for c in self.columns])
