@@ -1,8 +1,9 @@
 import re
 from collections import defaultdict
 
-from tests.llm.texts import TEXTS, docs
+from tests.llm.texts import SCHEMA, TEXTS, docs
 
+from pulsegrid.llm import mixing
 from pulsegrid.llm.mixing import mixed, n_words, repeat_rows, sainte_lague, targets
 
 
@@ -45,6 +46,17 @@ def test_apportionment_equals_highest_quotients(spark):
         assert [r.quota for r in sorted((r for r in got if r.g == g), key=lambda r: r.p)] == highest_quotients(ws, seats), g
 
 
+def test_caps_hand_seats_on(spark):
+    cases = [([53, 24, 23], 17, [3, 99, 4]), ([10, 10, 10], 12, [1, 1, 50]), ([5, 4], 20, [3, 2]), ([8, 1, 1, 0], 10, [6, 9, 9, 9])]
+    rows = [(g, i, float(w), s, c) for g, (ws, s, cs) in enumerate(cases) for i, (w, c) in enumerate(zip(ws, cs, strict=True))]
+    got = sainte_lague(spark.createDataFrame(rows, "g int, p int, w double, seats long, most long"), ["g"], "p", "w", "seats", "most").collect()
+    for g, (ws, seats, caps) in enumerate(cases):
+        won = [0] * len(ws)
+        for _ in range(min(seats, sum(c for w, c in zip(ws, caps, strict=True) if w))):
+            won[max((i for i in range(len(ws)) if won[i] < caps[i]), key=lambda i: (ws[i] / (2 * won[i] + 1), -i))] += 1
+        assert [r.quota for r in sorted((r for r in got if r.g == g), key=lambda r: r.p)] == won, g
+
+
 def check(rows, texts, tolerance):
     size = {}
     by_source = defaultdict(lambda: [0, 0, 0.0])
@@ -69,6 +81,32 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert first == sorted(mixed(table.repartition(5)).collect(), key=str)
 
 
+def test_reruns_agree_with_repeated_and_missing_ids(spark):
+    texts = [(None if i % 5 == 0 else i % 40, "w " * (1 + i % 53)) for i in range(400)] + [(None, "same text here")] * 150
+    table = docs(spark, texts).repartition(3)
+    first = sorted(mixed(table).collect(), key=str)
+    check(first, texts, 0.03)
+    assert first == sorted(mixed(table.repartition(7)).collect(), key=str)
+    ids = [sorted(map(str, repeat_rows(table.repartition(k)).select("doc_id", "text").collect())) for k in (2, 7)]
+    assert ids[0] == ids[1]
+
+
+def test_no_block_is_lost_where_a_source_is_wanted_in_full(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)  # several shards
+    texts = [(i, "w " * (1 + i % 90)) for i in range(900)]
+    rows = [(i, t, "en", "a" if i % 30 == 0 else "b", len(t), "k", i, [i]) for i, t in texts]
+    got = mixed(spark.createDataFrame(rows, SCHEMA)).collect()
+    small = [r for r in got if r.doc_id % 30 == 0]
+    # 5 parts of 8 are more than twice what it has
+    assert small[0].target == 2 * small[0].source_size and sum(r.taken for r in small) == small[0].target
+    check(got, texts, 0.01)
+
+
+def test_no_python_runs(spark):
+    for out in (mixed(docs(spark)), repeat_rows(docs(spark))):
+        assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString().replace("RDD Scan", ""))
+
+
 def test_awkward_rows_and_empty_table(spark):
     got = mixed(docs(spark)).collect()
     assert len(got) == len(TEXTS)
