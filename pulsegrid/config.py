@@ -18,6 +18,29 @@ SELECTED = (
 )
 META = ("file", "pump_start_s", "pump_end_s", "pump_dur_s", "roi_x1", "roi_y1", "roi_x2", "roi_y2")
 KEEP_OF_PAIR = ("dominant_freq_hz", "autocorr_at_period")
+# What figures call the features.
+PRETTY = {
+    "dominant_freq_hz": "Dominant Frequency (Hz)",
+    "spectral_power_in_band": "Spectral Band Power",
+    "spectral_snr": "Spectral SNR",
+    "spectral_entropy": "Spectral Entropy",
+    "freq_stability_std": "Frequency Stability",
+    "interval_cv": "Stroke Interval CV",
+    "stroke_amp_cv": "Stroke Amplitude CV",
+    "rise_fall_ratio": "Rise/Fall Ratio",
+    "rise_time_cv": "Rise Time CV",
+    "fall_time_cv": "Fall Time CV",
+    "autocorr_at_period": "Autocorr. at Period",
+    "cycle_shape_cv": "Cycle Shape CV",
+    "cycle_corr_mean": "Cycle Correlation",
+    "phase_portrait_eccentricity": "Phase Eccentricity",
+    "envelope_cv": "Envelope CV",
+    "top_bot_corr": "Top-Bottom Corr.",
+    "left_right_corr": "Left-Right Corr.",
+    "quadrant_cv_max": "Quadrant CV (Max)",
+    "active_roi_fraction": "Active ROI Fraction",
+    "motion_cv": "Motion CV",
+}
 MODELS = ("mahalanobis", "lof", "isoforest", "elliptic_envelope", "ocsvm")
 
 #: Guards of divisions and logarithms.
@@ -27,7 +50,7 @@ VOTES, NEAR_CONSTANT, SAME_PAIR, LEAST_IMPORTANCE, LOO_PERCENTILE = 3, 0.95, 0.9
 
 @dataclass(frozen=True)
 class Profile:
-    """How clips become signals and features."""
+    """How clips become signals and features. The numbers are fixed values."""
 
     fps: float = 30.0
     least_frames: int = 60
@@ -49,8 +72,10 @@ class Profile:
 
 @dataclass(frozen=True)
 class Sessions:
-    """When a recording starts and ends."""
+    """When a recording starts and ends. The numbers are fixed values."""
 
+    fps: float = 30.0
+    on_off_threshold: int = 15
     least_pixels: int = 60
     confirm: int = 5
     gap_s: float = 4.0

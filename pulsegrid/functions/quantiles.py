@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsegrid.functions.columns import known
+from pulsegrid.functions.columns import known, long_form
 
 BINS, FEW = 2048, 4096
 #: Ranges that ordered values are dealt to, and rows of a range at least.
@@ -21,41 +22,46 @@ RANGES, RANGE_ROWS = 256, 10_000
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
     """For each column its quantiles, linear between neighbours; nulls and NaNs are left out. None where nothing is left."""
-    df = df.select(*[known(F.col(c).cast("double")).alias(c) for c in columns])
-    first = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        n, lo, hi = first[f"n_{i}"], first[f"lo_{i}"], first[f"hi_{i}"]
-        if not n:
-            out[c] = [None] * len(shares)
-            continue
-        places = [s * (n - 1) for s in shares]
-        ranks = sorted({int(p) for p in places} | {min(int(p) + 1, n - 1) for p in places})
-        values = _at_ranks(df.select(F.col(f"`{c}`").alias("v")).where("v is not null"), ranks, 0, n, lo, hi)
-        out[c] = [values[int(p)] + (p - int(p)) * (values[min(int(p) + 1, n - 1)] - values[int(p)]) for p in places]
-    return out
+    found = grouped_quantiles(df, [], columns, shares)
+    return {c: found.get((c,), [None] * len(shares)) for c in columns}
 
 
-def _at_ranks(values: DataFrame, ranks: list[int], before: int, n: int, lo: float, hi: float) -> dict[int, float]:
-    """values: n numbers from lo to hi, with `before` smaller ones outside."""
-    if lo == hi:
-        return dict.fromkeys(ranks, lo)
-    step = (hi - lo) / BINS
-    if n <= FEW or lo + step == lo or hi - step == hi:
-        rows = values.groupBy("v").count().orderBy("v").limit(FEW).collect() if n > FEW else values.groupBy("v").count().collect()
-        out, at = {}, before
-        for r in sorted(rows, key=lambda r: r["v"]):
-            out |= {k: r["v"] for k in ranks if at <= k < at + r["count"]}
-            at += r["count"]
-        return out
-    own = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(step)), F.lit(BINS - 1))
-    bins = sorted(values.groupBy(own.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-    out, at = {}, before
-    for b, count, least, most in bins:
-        if inside := [k for k in ranks if at <= k < at + count]:
-            out |= _at_ranks(values.where(F.col("v").between(least, most)), inside, at, count, least, most)
-        at += count
-    return out
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], shares: Sequence[float]) -> dict[tuple, list[float]]:
+    """(column, *key) to quantiles, for groups that are few: the driver holds BINS counts for each at most. A level of bins is one job for all of them."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    long = long_form(df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], *[F.col(f"`{c}`") for c in columns]), own, columns, "_c", "_v")
+    long = long.withColumn("_v", known(F.col("_v"))).where("_v is not null")
+    todo, places, values = [], {}, {}
+    for row in long.groupBy("_c", *own).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect():
+        group = (row["_c"], *[row[o] for o in own])
+        places[group] = [s * (row["n"] - 1) for s in shares]
+        ranks = sorted({int(p) for p in places[group]} | {min(int(p) + 1, row["n"] - 1) for p in places[group]})
+        todo.append((group, ranks, 0, row["n"], row["lo"], row["hi"]))
+        values[group] = {}
+    kind = T.StructType([T.StructField("_id", T.IntegerType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()), T.StructField("_step", T.DoubleType()), T.StructField("_g", T.StructType([T.StructField(c, long.schema[c].dataType) for c in ("_c", *own)]))])
+    while todo:
+        for group, ranks, _, _, lo, _ in (x for x in todo if x[4] == x[5]):
+            values[group] |= dict.fromkeys(ranks, lo)
+        todo = [x for x in todo if x[4] < x[5]]
+        # below FEW rows, or where bins are finer than the numbers, which are then BINS at most, each value is a bin
+        steps = [0.0 if n <= FEW or lo + (hi - lo) / BINS == lo or hi - (hi - lo) / BINS == hi else (hi - lo) / BINS for _, _, _, n, lo, hi in todo]
+        if not todo:
+            break
+        looked = df.sparkSession.createDataFrame([(i, x[4], x[5], step, x[0]) for i, (x, step) in enumerate(zip(todo, steps, strict=True))], kind)
+        here = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        for c in ("_c", *own):
+            here = here & F.col(c).eqNullSafe(F.col(f"_g.{c}"))
+        place = F.when(F.col("_step") > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_step")), F.lit(BINS - 1)).cast("double")).otherwise(F.col("_v"))
+        bins = long.join(F.broadcast(looked), here).groupBy("_id", place.alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        more, at, last = [], 0, None
+        for k, _, count, least, most in sorted(map(tuple, bins.collect())):
+            if k != last:
+                at, last = todo[k][2], k
+            if inside := [r for r in todo[k][1] if at <= r < at + count]:
+                more.append((todo[k][0], inside, at, count, least, most))
+            at += count
+        todo = more
+    return {g: [values[g][int(p)] + (p - int(p)) * (values[g][min(int(p) + 1, max(values[g]))] - values[g][int(p)]) for p in ps] for g, ps in places.items()}
 
 
 def range_of(values: DataFrame, column: str, ranges: int = RANGES) -> Column:

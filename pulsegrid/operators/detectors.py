@@ -22,6 +22,8 @@ from pulsegrid.functions.quantiles import exact_quantiles, range_of
 
 #: Rows that a detector which keeps rows may be fitted on (a documented bound: at 14 features 2 MB).
 MOST_ROWS = 20_000
+#: A value with more than one row in HOT is looked up without a shuffle.
+HOT = 2000
 
 
 def moments(df: DataFrame, features: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -134,6 +136,11 @@ class IsolationForest:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     sample: int
 
+    @classmethod
+    def of(cls, rows: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 42) -> IsolationForest:
+        take = min(sample, len(rows))
+        return cls([tuple(map(np.array, grown(rows, k, take, seed))) for k in range(trees)], take)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         depth = np.zeros(len(x))
         for feature, cut, left, size in self.trees:
@@ -148,39 +155,42 @@ class IsolationForest:
         return 2 ** (-depth / len(self.trees) / max(float(_unsuccessful(self.sample)), 1e-12))
 
 
+def grown(rows: np.ndarray, k: int, take: int, seed: int) -> tuple[list, list, list, list]:
+    """The k-th tree, of `take` of the rows: random cuts of random features that still vary, to a depth of log2(take)."""
+    rng = np.random.default_rng((seed, k))
+    x = rows[rng.choice(len(rows), take, replace=False)]
+    feature, cut, left, size = [-1], [0.0], [0], [take]
+    todo = [(0, np.arange(take), 0)]
+    while todo:
+        node, own, depth = todo.pop()
+        lo, hi = x[own].min(axis=0), x[own].max(axis=0)
+        able = np.flatnonzero(hi > lo)
+        if len(own) < 2 or depth >= math.ceil(math.log2(max(take, 2))) or not len(able):
+            continue
+        f = int(rng.choice(able))
+        at = float(rng.uniform(lo[f], hi[f]))
+        right = x[own, f] > at
+        feature[node], cut[node], left[node] = f, at, len(feature)
+        for side in (own[~right], own[right]):
+            todo.append((len(feature), side, depth + 1))
+            feature.append(-1)
+            cut.append(0.0)
+            left.append(0)
+            size.append(len(side))
+    return feature, cut, left, size
+
+
 def fit_forest(df: DataFrame, features: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42) -> IsolationForest:
     """Each tree is a task's work on its own draw of the (bounded, broadcast) rows."""
     spark = df.sparkSession
     rows = sampled(df, features)
     shared, take = spark.sparkContext.broadcast(rows), min(sample, len(rows))
 
-    def grow(k: int) -> tuple[list, list, list, list]:
-        rng = np.random.default_rng((seed, k))
-        x = shared.value[rng.choice(len(shared.value), take, replace=False)]
-        feature, cut, left, size = [-1], [0.0], [0], [take]
-        todo = [(0, np.arange(take), 0)]
-        while todo:
-            node, own, depth = todo.pop()
-            lo, hi = x[own].min(axis=0), x[own].max(axis=0)
-            able = np.flatnonzero(hi > lo)
-            if len(own) < 2 or depth >= math.ceil(math.log2(max(take, 2))) or not len(able):
-                continue
-            f = int(rng.choice(able))
-            at = float(rng.uniform(lo[f], hi[f]))
-            right = x[own, f] > at
-            feature[node], cut[node], left[node] = f, at, len(feature)
-            for side in (own[~right], own[right]):
-                todo.append((len(feature), side, depth + 1))
-                feature.append(-1)
-                cut.append(0.0)
-                left.append(0)
-                size.append(len(side))
-        return feature, cut, left, size
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grown = [grow(k) for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in grown], pa.list_(pa.int32())), pa.array([g[1] for g in grown], pa.list_(pa.float64())), pa.array([g[2] for g in grown], pa.list_(pa.int32())), pa.array([g[3] for g in grown], pa.list_(pa.int32()))], ["tree", "feature", "cut", "left", "size"])
+            new = [grown(shared.value, k, take, seed) for k in batch.column(0).to_pylist()]
+            kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[j] for g in new], pa.list_(t)) for j, t in enumerate(kinds)]], ["tree", "feature", "cut", "left", "size"])
 
     if not len(rows):
         return IsolationForest([(np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1))], 1)
@@ -287,7 +297,7 @@ class OneClassSvm:
 
 @dataclass(frozen=True)
 class Components:
-    """Principal components of the covariance; the score is the squared distance from the space they span, averaged over features."""
+    """Principal components of the covariance; the score is the squared distance from the space they span."""
 
     features: tuple[str, ...]
     mean: np.ndarray
@@ -298,7 +308,7 @@ class Components:
 
     def column(self) -> Column:
         total = sum(((F.col(f) - F.lit(float(m))) ** 2 for f, m in zip(self.features, self.mean, strict=True)), F.lit(0.0))
-        return F.greatest(total - sum((self.projection(k) ** 2 for k in range(self.axes.shape[1])), F.lit(0.0)), F.lit(0.0)) / len(self.features)
+        return F.greatest(total - sum((self.projection(k) ** 2 for k in range(self.axes.shape[1])), F.lit(0.0)), F.lit(0.0))
 
 
 def fit_components(df: DataFrame, features: Sequence[str], keep: float | int = 0.95) -> Components:
@@ -321,8 +331,14 @@ def ecod(df: DataFrame, features: Sequence[str], key: str, name: str = "score")
     out = df
     left, right, auto = [], [], []
     for i, f in enumerate(features):
-        ranks = value_ranks(df.select(F.col(f).cast("double").alias("v")), "v").select(F.col("v").alias(f"_v{i}"), F.col("up_to").alias(f"_l{i}"), F.col("from").alias(f"_r{i}"))
-        out = out.join(ranks, F.col(f).cast("double").eqNullSafe(F.col(f"_v{i}"))).drop(f"_v{i}")
+        ranks = value_ranks(df.select(F.col(f).cast("double").alias("v")), "v").select(F.col("v").alias(f"_v{i}"), F.col("up_to").alias(f"_l{i}"), F.col("from").alias(f"_r{i}"), F.col("n").alias("_n"))
+        # values of more than 1 row in HOT, HOT at most, are broadcast; the rows that have one are then dealt by a number of their own
+        hot, rest = ranks.where(F.col("_n") > n / HOT), ranks.where(F.col("_n") <= n / HOT).withColumn("_alone", F.lit(0).cast("long"))
+        hot, rest = hot.select(F.col(f"_v{i}").alias("_hot"), F.col(f"_l{i}").alias("_l"), F.col(f"_r{i}").alias("_r")), rest.drop("_n")
+        value = F.col(f).cast("double")
+        out = out.join(F.broadcast(hot), value.eqNullSafe(F.col("_hot")), "left").withColumn("_mine", F.when(F.col("_l").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+        out = out.join(rest, (F.col("_mine") == F.col("_alone")) & value.eqNullSafe(F.col(f"_v{i}")), "left")
+        out = out.withColumns({f"_l{i}": F.coalesce("_l", f"_l{i}"), f"_r{i}": F.coalesce("_r", f"_r{i}")}).drop("_hot", "_l", "_r", "_mine", "_alone", f"_v{i}")
         lo, hi = -F.log(F.col(f"_l{i}") / n), -F.log(F.col(f"_r{i}") / n)
         left.append(lo)
         right.append(hi)
@@ -347,7 +363,7 @@ def value_ranks(values: DataFrame, column: str) -> DataFrame:
     return ranked.select(column, "n", "up_to", (F.col("_total") - F.col("up_to") + F.col("n")).alias("from"))
 
 
-def _loo_one(rows: np.ndarray, i: int, model: str) -> float:
+def _loo_one(rows: np.ndarray, i: int, model: str, trees: int = 200) -> float:
     others, own = np.delete(rows, i, axis=0), rows[i : i + 1]
     if model == "mahalanobis":
         d = own[0] - others.mean(axis=0)
@@ -356,22 +372,29 @@ def _loo_one(rows: np.ndarray, i: int, model: str) -> float:
         return float(LocalOutlierFactor.of(others).score(own)[0])
     if model == "ocsvm":
         return float(OneClassSvm.of(others).score(own)[0])
+    if model == "isoforest":
+        return float(IsolationForest.of(others, trees).score(own)[0])
     if model == "pca":
         values, vectors = np.linalg.eigh(np.cov(others.T))
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
         axes = vectors[:, : int(np.searchsorted(np.cumsum(values) / values.sum(), 0.95)) + 1]
         d = own[0] - others.mean(axis=0)
-        return float(((d - axes @ (axes.T @ d)) ** 2).mean())
+        return float(((d - axes @ (axes.T @ d)) ** 2).sum())
     raise ValueError(f"no leave-one-out for {model}")
 
 
-def leave_one_out(df: DataFrame, features: Sequence[str], model: str, share: float = LOO_PERCENTILE) -> tuple[float, DataFrame]:
+def leave_one_out(df: DataFrame, features: Sequence[str], model: str, share: float = LOO_PERCENTILE, trees: int = 200) -> tuple[float, DataFrame]:
     """The threshold at `share` of the left-out scores, and the scores (fold, score).
 
-    Mahalanobis scores are those of all rows, from the moments without the row (a rank-one downdate). Of
-    other detectors every fold is a row of a job over the broadcast (bounded) rows.
+    Mahalanobis scores are those of all rows, from the moments without the row (a rank-one downdate). ECOD
+    ranks a new row among the known ones and itself, so its left-out scores are those of all rows. Of other
+    detectors every fold is a row of a job over the broadcast (bounded) rows.
     """
     spark = df.sparkSession
+    if model == "ecod":
+        keyed = df.select(F.monotonically_increasing_id().alias("fold"), *features)
+        folds = ecod(keyed, features, "fold").select("fold", "score")
+        return exact_quantiles(folds, ["score"], [share])["score"][0], folds
     if model == "mahalanobis":
         n, mean, cov = moments(df, features)
         if n > 2:
@@ -384,7 +407,7 @@ def leave_one_out(df: DataFrame, features: Sequence[str], model: str, share: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [_loo_one(shared.value, i, model) for i in batch.column(0).to_pylist()]
+            scores = [_loo_one(shared.value, i, model, trees) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["fold", "score"])
 
     folds = spark.range(len(rows), numPartitions=max(1, min(64, len(rows) // 4))).select(F.col("id").alias("fold")).mapInArrow(run, "fold long, score double")

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsegrid.config import MODELS, VOTES
+from pulsegrid.config import MODELS, PRETTY, VOTES
 from pulsegrid.functions.columns import ratio
-from pulsegrid.functions.quantiles import exact_quantiles, range_of
+from pulsegrid.functions.quantiles import exact_quantiles, grouped_quantiles, range_of
 from pulsegrid.operators.detectors import fit_components, value_ranks
 
 
@@ -24,6 +25,40 @@ def with_votes(df: DataFrame, models: Sequence[str] = MODELS, votes: int = VOTES
     return df.withColumn("vote_count", sum(have, F.lit(0))).withColumn("flag_vote", (F.col("vote_count") >= votes).cast("int"))
 
 
+def named(df: DataFrame, prefix: str, order: Sequence[str]) -> DataFrame:
+    """df as it is if it has `file`; else with prefix_0, prefix_1, ... in the given order. Tables of an evaluation are small: one task numbers them."""
+    if "file" in df.columns:
+        return df
+    return df.withColumn("file", F.concat(F.lit(f"{prefix}_"), F.row_number().over(Window.orderBy(*order)) - 1))
+
+
+def pretty(feature: Column) -> Column:
+    """What figures call a feature; a name without another one stays."""
+    names = F.create_map(*[F.lit(x) for pair in PRETTY.items() for x in pair])
+    return F.coalesce(F.element_at(names, feature), feature)
+
+
+def fold_report(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of left-out scores: mean, deviation and largest."""
+    return folds.groupBy(*keys).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.max("score").alias("max"), F.count(F.lit(1)).alias("n"))
+
+
+def fold_histogram(folds: DataFrame, threshold: float, bins: int = 25) -> DataFrame:
+    """Left-out scores in `bins` bars of equal width (the last one closed) and the threshold that is drawn beside them."""
+    lo, hi = folds.agg(F.min("score"), F.max("score")).first()
+    width = (hi - lo) / bins if lo is not None and hi > lo else 1.0
+    bar = F.least(F.floor((F.col("score") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    counts = folds.where("score is not null").groupBy(bar.alias("bar")).agg(F.count(F.lit(1)).alias("n"))
+    bars = folds.sparkSession.range(bins).select(F.col("id").cast("int").alias("bar"))
+    start = F.lit(lo) + F.col("bar") * F.lit(width)
+    return bars.join(F.broadcast(counts), "bar", "left").select("bar", start.alias("from"), (start + F.lit(width)).alias("to"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(threshold).alias("threshold"))
+
+
+def correlation_triangle(pairs: DataFrame, boxed: float = 0.97) -> DataFrame:
+    """Each pair of features once, by the names that figures use, and whether a box marks it."""
+    return pairs.select(pretty(F.col("a")).alias("a"), pretty(F.col("b")).alias("b"), "r", F.coalesce(F.abs("r") > boxed, F.lit(False)).alias("boxed"))
+
+
 def evaluated(normal: DataFrame, anomalous: DataFrame | None) -> DataFrame:
     out = normal.withColumn("label", F.lit("normal"))
     return out if anomalous is None else out.unionByName(anomalous.withColumn("label", F.lit("anomalous")))
@@ -81,15 +116,27 @@ def histogram(df: DataFrame, value: str, width: float, keys: Sequence[str] = ())
 
 
 def box_plot(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*keys).agg(q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n")).select(*keys, "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "hi", "n")
+    """Per group, of which there are few: least, quartiles, largest, rows. No task holds a group's values."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
+    return with_quantiles(ends, df, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(*keys, "lo", "q1", "q2", "q3", "hi", "n")
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """groups (a row for each key, few) with quantiles of df's `value` in columns of the given names."""
+    found = grouped_quantiles(df, keys, [value], list(shares.values()))
+    kind = T.StructType([*[T.StructField(f"_q{i}", df.schema[k].dataType) for i, k in enumerate(keys)], *[T.StructField(n, T.DoubleType()) for n in shares]])
+    table = df.sparkSession.createDataFrame([(*g[1:], *q) for g, q in found.items()], kind)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_q{i}"))
+    return groups.join(F.broadcast(table), same, "left").select(*groups.columns, *shares)
 
 
 def detection_matrix(df: DataFrame, models: Sequence[str] = MODELS) -> DataFrame:
     """Anomalous rows by model, and the vote: what the heat map shows; clips by the last part of their name."""
     voted = with_votes(df, models).where("label = 'anomalous'")
     name = F.element_at(F.split(F.regexp_replace("file", r"\.[^.]*$", ""), "_"), -1)
-    return voted.select(name.alias("clip"), *[f"flag_{m}" for m in models], "flag_vote")
+    return voted.select(name.alias("clip"), *[F.col(f"flag_{m}").alias(m) for m in (*models, "vote")])
 
 
 def pca_scatter(eval_rows: DataFrame, features: Sequence[str], flag_column: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pulsegrid.config import EPS, FEATURES, LOG_EPS, OFFLINE, Profile
+from pulsegrid.config import EPS, FEATURES, LOG_EPS, OFFLINE, Profile, Sessions
 from pulsegrid.functions import kernels as K
 
 
@@ -86,9 +90,10 @@ def regularity(x: np.ndarray, tops: np.ndarray, dom: float, fps: float) -> dict[
     return out
 
 
-def signal_features(clip: pd.DataFrame, fps: float, features: Sequence[str] = FEATURES, p: Profile = OFFLINE) -> dict[str, float]:
+def signal_features(clip: Mapping[str, Any], fps: float, features: Sequence[str] = FEATURES, p: Profile = OFFLINE) -> dict[str, float]:
     """Of a clip's signals in order (diff, and top, bot, left, right, flow where they are): the wanted features; others are 0."""
-    x = clip["diff"].to_numpy(float)
+    clip = {c: np.asarray(clip[c], float) for c in ("diff", "top", "bot", "left", "right", "flow") if c in clip}
+    x = clip["diff"]
     out = dict.fromkeys(features, 0.0)
     if len(x) < 8:
         return out
@@ -97,9 +102,9 @@ def signal_features(clip: pd.DataFrame, fps: float, features: Sequence[str] = FE
     got |= more | regularity(x, tops, got["dominant_freq_hz"], fps)
     for name, a, b in (("top_bot_corr", "top", "bot"), ("left_right_corr", "left", "right")):
         if a in clip and b in clip:
-            got[name] = K.correlation(clip[a].to_numpy(float)[1:], clip[b].to_numpy(float)[1:])
+            got[name] = K.correlation(clip[a][1:], clip[b][1:])
     if "flow" in clip and "flow_dom_freq" in features:
-        f, psd = K.welch(clip["flow"].to_numpy(float)[1:], fps, min(512, len(x) // 4))
+        f, psd = K.welch(clip["flow"][1:], fps, min(512, len(x) // 4))
         inside = (f >= 7) & (f <= 14)
         got["flow_dom_freq"] = float(f[inside][psd[inside].argmax()]) if inside.any() else 0.0
         got["freq_flow_diff"] = abs(got["dominant_freq_hz"] - got["flow_dom_freq"])
@@ -117,15 +122,59 @@ def extract_signals(signals: DataFrame, key: str = "clip_id", order: str = "i",
     return signals.groupBy(key).applyInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{f} double" for f in features))
 
 
-def clip_signals(frames: np.ndarray, fps: float, p: Profile = OFFLINE) -> tuple[str, dict[str, object]]:
-    """Status (OK, TOO_SHORT, BLURRY, NO_PUMP), and of the running part of gray frames [n, h, w] the signals and spatial features."""
-    n, h, w = frames.shape
+def extract_arrays(df: DataFrame, key: str, samples: str, fps: float = 30.0, features: Sequence[str] = FEATURES, profile: Profile = OFFLINE) -> DataFrame:
+    """The same of signals that come as an array in each row: rows stay where they are. Null arrays have no samples."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [signal_features({"diff": np.array(x.as_py() or [], float)}, fps, features, profile) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[f] for g in got], pa.float64()) for f in features]], [key, *features])
+
+    return df.select(key, F.col(samples).cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{f} double" for f in features))
+
+
+def moving(frames: DataFrame, rule: Sessions = Sessions(), order: Sequence[str] = ("ts",)) -> DataFrame:  # noqa: B008
+    """frames (machine, h, w, pixels: the gray region, and the columns of `order`) with `active`: whether least_pixels or more changed since the machine's frame before.
+
+    Only a frame and the one before meet in a row. A machine's first frame, and one of another size, is not active.
+    """
+    before = F.lag(F.struct("h", "w", "pixels")).over(Window.partitionBy("machine").orderBy(*order))
+    pairs = frames.withColumn("_before", before)
+    names = [c for c in frames.columns if c != "pixels"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, active = {c: batch.column(c).to_pylist() for c in ("h", "w", "pixels", "_before")}, []
+            for h, w, pixels, last in zip(*own.values(), strict=True):
+                if last is None or pixels is None or last["pixels"] is None or (h, w) != (last["h"], last["w"]):
+                    active.append(False)
+                    continue
+                soft = K.blur(np.stack([np.frombuffer(x, np.uint8).reshape(h, w) for x in (last["pixels"], pixels)])).astype(int)
+                active.append(bool(K.majority(np.abs(soft[1] - soft[0]) > rule.on_off_threshold).sum() >= rule.least_pixels))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(active, pa.bool_())], [*names, "active"])
+
+    kind = T.StructType([*[frames.schema[c] for c in names], T.StructField("active", T.BooleanType())])
+    return pairs.select(*names, "pixels", "_before").mapInArrow(run, kind)
+
+
+def clip_signals(frames: np.ndarray, fps: float, p: Profile = OFFLINE, box: tuple[int, int, int, int] | None = None) -> tuple[str, dict[str, object]]:
+    """Status (OK, TOO_SHORT, BLURRY, NO_PUMP), and of the running part of gray frames [n, h, w] the signals and spatial features.
+
+    box: x1, y1, x2, y2 of the region, which is cut out of the whole frames after they are blurred; None if frames are the region.
+    """
+    inside = (slice(None), slice(None)) if box is None else (slice(box[1], box[3]), slice(box[0], box[2]))
+    n = len(frames)
     if n < p.least_frames:
         return "TOO_SHORT", {}
-    sharp = float(np.mean([K.sharpness(f) for f in frames[:: p.sharpness_every]]))
+    own = frames[:, *inside]
+    h, w = own.shape[1:]
+    if not h or not w:
+        return "NO_REGION", {}
+    sharp = float(np.mean([K.sharpness(f) for f in own[:: p.sharpness_every]]))
     if sharp < p.least_sharpness:
         return "BLURRY", {"sharpness": sharp}
-    soft = K.blur(frames)
+    soft = np.concatenate([K.blur(frames[k : k + 64])[:, *inside] for k in range(0, n, 64)])
     moved = np.zeros(n)
     for i in range(1, n):
         moved[i] = K.majority(np.abs(soft[i].astype(int) - soft[i - 1]) > p.on_off_threshold).sum()
@@ -153,10 +202,12 @@ def clip_signals(frames: np.ndarray, fps: float, p: Profile = OFFLINE) -> tuple[
 
 
 def extract_clips(clips: DataFrame, features: Sequence[str] = FEATURES, profile: Profile = OFFLINE) -> DataFrame:
-    """clips: file, fps, h, w, pixels (gray frames after each other, the region alone) to a row for each clip, rejected ones too, with their status.
+    """clips: file, fps, h, w, pixels (gray frames after each other) to a row for each clip, rejected ones too, with their status.
 
-    A clip is a row and its frames stay in one task step; clips are spread over tasks as they are read.
+    Frames are whole where clips have the columns roi_x1, roi_y1, roi_x2, roi_y2, else the region alone. A
+    clip is a row and its frames stay in one task step; clips are spread over tasks as they are read.
     """
+    region = [c for c in ("roi_x1", "roi_y1", "roi_x2", "roi_y2") if c in clips.columns]
     schema = "file string, status string, pump_start_s double, pump_end_s double, pump_dur_s double, sharpness double, " + ", ".join(f"{f} double" for f in features)
 
     def run(batches):
@@ -164,11 +215,12 @@ def extract_clips(clips: DataFrame, features: Sequence[str] = FEATURES, profile:
             for row in batch.itertuples():
                 fps = row.fps if row.fps and row.fps > 0 else profile.fps
                 frames = np.frombuffer(row.pixels or b"", np.uint8).reshape(-1, row.h, row.w)
-                status, got = clip_signals(frames, fps, profile)
+                box = [getattr(row, c) for c in region]
+                status, got = clip_signals(frames, fps, profile, tuple(map(int, box)) if len(box) == 4 and not any(pd.isna(b) for b in box) else None)
                 out = {"file": row.file, "status": status, "sharpness": got.get("sharpness"), "pump_start_s": None, "pump_end_s": None, "pump_dur_s": None, **dict.fromkeys(features)}
                 if status == "OK":
                     values = signal_features(got["signals"], fps, features, profile) | {k: v for k, v in got["spatial"].items() if k in features}
                     out |= {"pump_start_s": round(got["start"] / fps, 2), "pump_end_s": round(got["end"] / fps, 2), "pump_dur_s": round((got["end"] - got["start"]) / fps, 2)} | {k: round(v, 6) for k, v in values.items()}
                 yield pd.DataFrame([out])
 
-    return clips.select("file", "fps", "h", "w", "pixels").mapInPandas(run, schema)
+    return clips.select("file", "fps", "h", "w", "pixels", *region).mapInPandas(run, schema)

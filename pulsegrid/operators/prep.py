@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -54,7 +55,9 @@ def near_constant(df: DataFrame, features: Sequence[str], share: float = NEAR_CO
 
 
 def pruned(df: DataFrame, features: Sequence[str], excluded: Sequence[str] = ()) -> list[str]:
-    """The features that vary, without `excluded`; a feature's verdict comes from aggregates, one row for each."""
+    """The features that vary, without `excluded` (of which those that are absent are warned of); a feature's verdict comes from aggregates, one row for each."""
+    if absent := [f for f in excluded if f not in features]:
+        warnings.warn(f"excluded, but not there: {', '.join(absent)}", stacklevel=2)
     gone = {r.feature for r in zero_variance(df, features).where("dropped").collect()}
     left = [f for f in features if f not in gone]
     gone |= {r.feature for r in near_constant(df, left).where("dropped").collect()} if left else set()

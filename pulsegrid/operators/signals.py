@@ -90,7 +90,7 @@ def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], active:
     """keys, order and `level`: up by one on an active row, down on another, within 0 and `top`; and `motion` where it is `top`.
 
     What a chunk of rows does to a level x is min(max(x + a, lo), hi), with lo and hi what becomes of 0
-    and of `top`. Chunks are folded by themselves; only their (a, lo, hi) are folded along the series.
+    and of `top`. Chunks are folded by themselves, then CHUNK of their (a, lo, hi) at a time: no row grows with a series.
     """
     clamp = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(top))
     rows = numbered(df, keys, order).withColumn("chunk", F.expr(f"i div {CHUNK}"))
@@ -98,9 +98,21 @@ def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], active:
     run = lambda start: F.aggregate("rows", start, lambda x, r: clamp(x + r["step"]))
     chunks = chunks.withColumns({"a": F.aggregate("rows", F.lit(0), lambda x, r: x + r["step"]), "lo": run(F.lit(0)), "hi": run(F.lit(top))})
     after = lambda x, c: F.least(F.greatest(x + c["a"], c["lo"]), c["hi"])
-    series = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk", "a", "lo", "hi"))).alias("cs"))
-    starts = F.aggregate("cs", F.array(F.lit(0)), lambda xs, c: F.concat(xs, F.array(after(F.element_at(xs, -1), c))))
-    begun = series.select(*keys, F.posexplode(starts).alias("chunk", "start")).withColumn("chunk", F.col("chunk").cast("long"))
+    # summaries of CHUNK summaries, level by level, until one is left of each series; then starts go down again
+    levels, most = [], chunks.agg(F.max("chunk")).first()[0] or 0
+    lower = chunks.select(*keys, "chunk", "a", "lo", "hi")
+    while True:
+        up = lower.groupBy(*keys, F.expr(f"chunk div {CHUNK}").alias("up")).agg(F.sort_array(F.collect_list(F.struct("chunk", "a", "lo", "hi"))).alias("cs"))
+        levels.append(up)
+        if (most := most // CHUNK) == 0:
+            break
+        fold = lambda start: F.aggregate("cs", start, after)
+        lower = up.select(*keys, F.col("up").alias("chunk"), F.aggregate("cs", F.lit(0), lambda x, c: x + c["a"]).alias("a"), fold(F.lit(0)).alias("lo"), fold(F.lit(top)).alias("hi"))
+    begun = None
+    for up in reversed(levels):
+        above = up.withColumn("start", F.lit(0)) if begun is None else up.join(begun.withColumnRenamed("chunk", "up"), [*keys, "up"])
+        starts = F.aggregate("cs", F.array("start"), lambda xs, c: F.concat(xs, F.array(after(F.element_at(xs, -1), c))))
+        begun = above.select(*keys, F.explode(F.arrays_zip(F.col("cs.chunk").alias("chunk"), F.slice(starts, F.lit(1), F.size("cs")).alias("start"))).alias("x")).select(*keys, "x.chunk", "x.start")
     levels = F.aggregate("rows", F.array("start"), lambda xs, r: F.concat(xs, F.array(clamp(F.element_at(xs, -1) + r["step"]))))
     out = chunks.join(begun, [*keys, "chunk"]).select(*keys, F.explode(F.arrays_zip("rows", F.slice(levels, F.lit(2), F.size("rows")).alias("levels"))).alias("x"))
     return out.select(*keys, *[F.col(f"x.rows.{c}").alias(c) for c in order if c not in keys], F.col("x.levels").alias("level")).withColumn("motion", F.col("level") == top)

@@ -61,9 +61,9 @@ def q02_variation(spark, sf_dir):
 SELECT l_returnflag, count(*) AS n, round(avg(least(greatest(l_extendedprice, lo), hi)), 4) AS mean_clipped, round(min(lo), 4) AS lo, round(min(hi), 4) AS hi FROM lineitem JOIN b USING (l_returnflag) GROUP BY 1""")
 def q03_clip(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    bounds = items.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.01), F.lit(0.99))).alias("p")).select("l_returnflag", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    bounds = evaluation.with_quantiles(items.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows")), items, ["l_returnflag"], "l_extendedprice", {"lo": 0.01, "hi": 0.99}).drop("rows")
     within = clipped(F.col("l_extendedprice"), F.col("lo"), F.col("hi"))
-    return items.join(bounds, "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(within), 4).alias("mean_clipped"), F.round(F.min("lo"), 4).alias("lo"), F.round(F.min("hi"), 4).alias("hi"))
+    return items.join(F.broadcast(bounds), "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(within), 4).alias("mean_clipped"), F.round(F.min("lo"), 4).alias("lo"), F.round(F.min("hi"), 4).alias("hi"))
 
 
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS value FROM lineitem" for c in (*MEASURES, "zero")).replace("zero::DOUBLE", "0.0::DOUBLE")
@@ -307,7 +307,7 @@ def q32_rates(spark, sf_dir):
 
 @query("""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), m AS (SELECT avg(x) mx, avg(y) my, var_samp(x) a, var_samp(y) c, covar_samp(x, y) b FROM e WHERE label = 0),
 l AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) AS l1 FROM m), v AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS vx, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS vy FROM l)
-SELECT vec_id, round(greatest((x - mx) * (x - mx) + (y - my) * (y - my) - ((x - mx) * vx + (y - my) * vy) * ((x - mx) * vx + (y - my) * vy), 0) / 2, 6) AS error FROM e, v""")
+SELECT vec_id, round(greatest((x - mx) * (x - mx) + (y - my) * (y - my) - ((x - mx) * vx + (y - my) * vy) * ((x - mx) * vx + (y - my) * vy), 0), 6) AS error FROM e, v""")
 def q33_pca_error(spark, sf_dir):
     v = vectors(spark, sf_dir, 2)
     return v.select("vec_id", r6(detectors.fit_components(v.where("label = 0"), ["x0", "x1"], 1).column()).alias("error"))
@@ -348,13 +348,39 @@ def q36_sampled_detectors(spark, sf_dir):
 @query()
 def q37_signal_features(spark, sf_dir):
     """Welch, envelope and cycle features of the embeddings as signals of 64 samples."""
-    long = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "diff")).withColumn("diff", F.col("diff").cast("double"))
-    out = extract.extract_signals(long, key="vec_id")
+    out = extract.extract_arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return out.select("vec_id", *[r6(c).alias(c) for c in out.columns[1:]])
 
 
-@query()
+_FRAMES = """f AS (
+    SELECT user_id, ts, epoch_us(ts) / 1e6 AS t, value > 20 AS moved,
+           row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, value > 20) AS i
+    FROM events)"""
+
+
+@query(f"""
+WITH RECURSIVE {_FRAMES},
+r AS (
+    SELECT user_id, i, ts, 0 AS level, NULL::DOUBLE AS last, NULL::DOUBLE AS trigger, NULL::DOUBLE AS began, NULL::TIMESTAMP AS began_at, 0::BIGINT AS n, FALSE AS ends FROM f WHERE i = 1
+    UNION ALL
+    SELECT user_id, i, ts, level, last, trigger, began, began_at, n, began IS NOT NULL AND (t - last >= 14400 OR t - began >= 43200) AS ends
+    FROM (
+        SELECT user_id, i, ts, t, level, last, CASE WHEN opens THEN t ELSE trigger END AS trigger, CASE WHEN opens THEN t ELSE began END AS began,
+               CASE WHEN opens THEN ts ELSE began_at END AS began_at, CASE WHEN opens THEN least(i, 3) WHEN began IS NOT NULL THEN n + 1 ELSE 0 END AS n
+        FROM (
+            SELECT *, began IS NULL AND level = 2 AND (trigger IS NULL OR t - trigger >= 3600) AS opens
+            FROM (
+                SELECT user_id, i, ts, t, level, CASE WHEN level = 2 THEN t ELSE last END AS last, trigger, began, began_at, n
+                FROM (
+                    SELECT f.user_id, f.i, f.ts, f.t, least(greatest(CASE WHEN r.ends THEN 0 ELSE r.level END + CASE WHEN f.moved THEN 1 ELSE -1 END, 0), 2) AS level,
+                           CASE WHEN NOT r.ends THEN r.last END AS last, r.trigger, CASE WHEN NOT r.ends THEN r.began END AS began, CASE WHEN NOT r.ends THEN r.began_at END AS began_at, r.n
+                    FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1)))))
+SELECT user_id AS machine, strftime(began_at, '%Y%m%d_%H%M%S') AS clip, n, i - n AS first_frame, i - 1 AS last_frame,
+       round(epoch_us(ts) / 1e6 - epoch_us(began_at) / 1e6 - (n * 3600.0 - 10800.0), 3) AS lost_s
+FROM r JOIN (SELECT user_id, max(i) AS final FROM f GROUP BY user_id) USING (user_id) WHERE began IS NOT NULL AND (ends OR i = final)
+""")
 def q38_recordings(spark, sf_dir):
-    """The recorder's state machine over each machine's events: gap of 4 hours, 12 hours at most."""
+    """The recorder over each machine's events as frames, one an hour: gap of 4 hours, 12 hours at most, 3 frames before."""
     frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("machine"), "ts", (F.col("value") > 20).alias("active"))
-    return monitor.recordings_of(frames, Sessions(confirm=2, gap_s=4 * 3600.0, longest_s=12 * 3600.0, cooldown_s=3600.0))
+    rule = Sessions(confirm=2, gap_s=4 * 3600.0, longest_s=12 * 3600.0, cooldown_s=3600.0, before_s=3 * 3600.0, fps=1 / 3600)
+    return monitor.recordings_of(frames, rule).select("machine", "clip", "n", "first_frame", "last_frame", "lost_s")

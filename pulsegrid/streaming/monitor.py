@@ -19,108 +19,137 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsegrid.config import Sessions
+from pulsegrid.functions.columns import seconds
+from pulsegrid.sources.files import append_log
 
 
 def step(state: dict, t: float, active: bool, rule: Sessions) -> dict | None:
     """Takes one frame into a machine's state; the recording that it closes, if any.
 
-    The level has to reach `confirm` to open a recording; silence of `gap_s` or a length of `longest_s`
-    closes it, after which motion has to be confirmed anew. A recording reaches `before_s` back, but not
-    before the last trigger's `cooldown_s`.
+    Active frames raise the level, others lower it; motion is a level of `confirm`, and renews the last motion.
+    Motion opens a recording, `cooldown_s` after the last trigger or later, with the frames of the last
+    `before_s` seconds (by number, at `fps`); each frame counts once. The frame that comes `gap_s` after the last
+    motion or `longest_s` after the trigger is its last, and the level starts anew. A first frame shows no motion.
     """
-    closed = None
-    if state["start"] is not None and (t - state["last"] > rule.gap_s or t - state["start"] >= rule.longest_s):
-        closed = {"start": state["start"], "end": state["last"], "n": state["n"]}
-        state |= {"start": None, "level": 0, "n": 0}
-    state["level"] = min(max(state["level"] + (1 if active else -1), 0), rule.confirm)
+    motion = False
+    if state["count"]:
+        state["level"] = min(max(state["level"] + (1 if active else -1), 0), rule.confirm)
+        if motion := state["level"] == rule.confirm:
+            state["last"] = t
+    state["count"] += 1
     if state["start"] is not None:
         state["n"] += 1
-        if active:
-            state["last"] = t
-    elif state["level"] == rule.confirm and (state["trigger"] is None or t - state["trigger"] >= rule.cooldown_s):
-        state |= {"start": t, "last": t, "trigger": t, "n": 1}
-    return closed
+    elif motion and (state["trigger"] is None or t - state["trigger"] >= rule.cooldown_s):
+        state |= {"start": t, "trigger": t, "n": min(state["count"], max(1, int(rule.before_s * rule.fps)))}
+    if state["start"] is None or (state["last"] is None or t - state["last"] < rule.gap_s) and t - state["start"] < rule.longest_s:
+        return None
+    return closed(state, t)
+
+
+def closed(state: dict, t: float) -> dict:
+    """The open recording, which ends at t with the machine's latest frame."""
+    out = {"start": state["start"], "end": t, "n": state["n"], "first_frame": state["count"] - state["n"], "last_frame": state["count"] - 1}
+    state |= {"start": None, "level": 0, "last": None, "n": 0}
+    return out
 
 
 def fresh() -> dict:
-    return {"level": 0, "start": None, "last": None, "trigger": None, "n": 0}
+    return {"level": 0, "start": None, "last": None, "trigger": None, "n": 0, "count": 0}
+
+
+def described(recordings: DataFrame, rule: Sessions) -> DataFrame:
+    """Recordings with the clip's id (the trigger's time), and how many seconds were lost: real time less that of the frames after the trigger."""
+    real = seconds(F.col("end")) - seconds(F.col("start"))
+    clip = F.date_format("start", "yyyyMMdd_HHmmss")
+    return recordings.select("machine", clip.alias("clip"), "start", "end", "n", "first_frame", "last_frame", F.round(real - (F.col("n") / rule.fps - rule.before_s), 3).alias("lost_s"))
 
 
 class _Recorder(StatefulProcessor):
-    """State of a machine: level, open recording, last trigger. A timer closes a recording once the watermark is past its gap."""
+    """State of a machine: level, open recording, last trigger, frames so far. A timer closes a recording once the watermark is past its gap: no frame came to end it."""
 
-    COLUMNS = ("level", "start", "last", "trigger", "n")
+    COLUMNS = ("level", "start", "last", "trigger", "n", "count")
 
     def __init__(self, rule: dict) -> None:
         self.rule = Sessions(**rule)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("recorder", "level int, start double, last double, trigger double, n long")
+        self.state = handle.getValueState("recorder", "level int, start double, last double, trigger double, n long, count long, latest double")
 
-    def _load(self) -> dict:
+    def _load(self) -> tuple[dict, float]:
         got = self.state.get() if self.state.exists() else None
-        return dict(zip(self.COLUMNS, got, strict=True)) if got is not None else fresh()
+        return (dict(zip(self.COLUMNS, got[:-1], strict=True)), got[-1]) if got is not None else (fresh(), 0.0)
 
-    def _out(self, key: tuple, closed: list[dict]) -> Iterator[pd.DataFrame]:
-        if closed:
-            yield pd.DataFrame({"machine": [key[0]] * len(closed), "start": pd.to_datetime([c["start"] for c in closed], unit="s"), "end": pd.to_datetime([c["end"] for c in closed], unit="s"), "n": [int(c["n"]) for c in closed]})
+    def _out(self, key: tuple, found: list[dict]) -> Iterator[pd.DataFrame]:
+        if found:
+            times = {c: pd.to_datetime([x[c] for x in found], unit="s") for c in ("start", "end")}
+            yield pd.DataFrame({"machine": [key[0]] * len(found), **times, **{c: [int(x[c]) for x in found] for c in ("n", "first_frame", "last_frame")}})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, closed = self._load(), []
-        frames = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        for t, active in zip(frames["ts"].astype("int64") / 1e9 if frames["ts"].dtype == "datetime64[ns]" else frames["ts"].astype("datetime64[ns]").astype("int64") / 1e9, frames["active"], strict=True):
-            if (c := step(state, float(t), bool(active), self.rule)) is not None:
-                closed.append(c)
-        self.state.update(tuple(state[c] for c in self.COLUMNS))
+        (state, latest), found = self._load(), []
+        frames = pd.concat(list(rows)).sort_values(["ts", "active"], kind="stable")
+        for t, active in zip(frames["ts"].astype("datetime64[ns]").astype("int64") // 1000 / 1e6, frames["active"], strict=True):
+            latest = float(t)
+            if (c := step(state, latest, bool(active), self.rule)) is not None:
+                found.append(c)
+        self.state.update((*[state[c] for c in self.COLUMNS], latest))
         if state["start"] is not None:
-            self.handle.registerTimer(int((state["last"] + self.rule.gap_s) * 1000) + 1)
-        yield from self._out(key, closed)
+            self.handle.registerTimer(int(self._due(state) * 1000) + 1)
+        yield from self._out(key, found)
+
+    def _due(self, state: dict) -> float:
+        """When an open recording ends if no more frames come."""
+        longest = state["start"] + self.rule.longest_s
+        return longest if state["last"] is None else min(longest, state["last"] + self.rule.gap_s)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, closed = self._load(), []
-        if state["start"] is not None and expiredTimerInfo.getExpiryTimeInMs() > (state["last"] + self.rule.gap_s) * 1000:
-            closed.append({"start": state["start"], "end": state["last"], "n": state["n"]})
-            state |= {"start": None, "level": 0, "n": 0}
-            self.state.update(tuple(state[c] for c in self.COLUMNS))
-        yield from self._out(key, closed)
+        (state, latest), found = self._load(), []
+        if state["start"] is not None and expiredTimerInfo.getExpiryTimeInMs() > self._due(state) * 1000:
+            found.append(closed(state, latest))
+            self.state.update((*[state[c] for c in self.COLUMNS], latest))
+        yield from self._out(key, found)
 
     def close(self) -> None:
         pass
 
 
 def recordings(frames: DataFrame, rule: Sessions = Sessions(), late: str = "10 seconds") -> DataFrame:  # noqa: B008
-    """frames (machine, ts timestamp, active boolean), a stream, to recordings (machine, start, end, n) as they close."""
+    """frames (machine, ts timestamp, active boolean), a stream, to recordings (see `described`) as they close."""
     marked = frames.withWatermark("ts", late).select("machine", "ts", "active")
     kind = frames.schema["machine"].dataType.simpleString()
-    return marked.groupBy("machine").transformWithStateInPandas(_Recorder(asdict(rule)), f"machine {kind}, start timestamp, end timestamp, n long", "Append", "EventTime")
+    schema = f"machine {kind}, start timestamp, end timestamp, n long, first_frame long, last_frame long"
+    return described(marked.groupBy("machine").transformWithStateInPandas(_Recorder(asdict(rule)), schema, "Append", "EventTime"), rule)
 
 
 def recordings_of(frames: DataFrame, rule: Sessions = Sessions()) -> DataFrame:  # noqa: B008
-    """The same of a table: a series is folded in order, batch by batch, and what is open at its end is closed."""
-    schema = T.StructType([T.StructField("machine", frames.schema["machine"].dataType), *T.StructType.fromDDL("start_s double, end_s double, n long").fields])
-    arrow = to_arrow_schema(schema)
+    """The same of a table: a series is folded in order, batch by batch, and what is open at its end is closed there."""
+    schema = T.StructType([T.StructField("machine", frames.schema["machine"].dataType), *T.StructType.fromDDL("start double, end double, n long, first_frame long, last_frame long").fields])
+    arrow, names = to_arrow_schema(schema), ("start", "end", "n", "first_frame", "last_frame")
 
-    def record(closed: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([c[j] for c in closed], arrow.field(j).type) for j in range(4)], schema=arrow)
+    def record(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([c[j] for c in found], f.type) for j, f in enumerate(arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, last = fresh(), None
+        state, last, latest = fresh(), None, 0.0
         for batch in batches:
-            closed = []
+            found = []
             for machine, t, active in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if machine != last:
                     if state["start"] is not None:
-                        closed.append((last, state["start"], state["last"], state["n"]))
+                        end = closed(state, latest)
+                        found.append((last, *[end[c] for c in names]))
                     state, last = fresh(), machine
+                latest = t
                 if (c := step(state, t, bool(active), rule)) is not None:
-                    closed.append((machine, c["start"], c["end"], c["n"]))
-            yield record(closed)
+                    found.append((machine, *[c[k] for k in names]))
+            yield record(found)
         if state["start"] is not None:
-            yield record([(last, state["start"], state["last"], state["n"])])
+            end = closed(state, latest)
+            yield record([(last, *[end[c] for c in names])])
 
-    timed = frames.select("machine", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "active")
-    return timed.repartition("machine").sortWithinPartitions("machine", "t").mapInArrow(run, schema)
+    timed = frames.select("machine", seconds(F.col("ts")).alias("t"), "active")
+    found = timed.repartition("machine").sortWithinPartitions("machine", "t", "active").mapInArrow(run, schema)
+    return described(found.withColumns({c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long")) for c in ("start", "end")}), rule)
 
 
 class _Checker(StatefulProcessor):
@@ -174,3 +203,13 @@ def log_to(df: DataFrame, path: str, checkpoint: str):
         rounded(batch).write.mode("overwrite").json(f"{path}/batch={n}")
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def perf_log_to(results: DataFrame, path: str, checkpoint: str, started: str = "received"):
+    """A stream's timings as a CSV log (timestamp, file_name, total_s): how long after `started`, a timestamp of the row, its batch was handled."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        now = F.current_timestamp()
+        append_log(batch.select(F.date_format(now, "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("file").alias("file_name"), (seconds(now) - seconds(F.col(started))).alias("total_s")), path)
+
+    return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import OFFLINE, Profile, Sessions
 from pulsegrid.functions import kernels as K
-from pulsegrid.functions.quantiles import exact_quantiles
+from pulsegrid.functions.quantiles import exact_quantiles, grouped_quantiles
 from pulsegrid.operators import detectors, evaluation, extract, prep, schedule, signals
 from pulsegrid.sources import files
 from pulsegrid.streaming import monitor
@@ -169,42 +169,162 @@ def test_artefacts(spark, tmp_path):
 def frames_of(spark, n=400):
     rng, base = np.random.default_rng(2), dt.datetime(2024, 1, 1)
     on = (np.arange(n) // 60) % 2 == 0
-    return [(m, base + dt.timedelta(seconds=i * 0.5), bool(on[i] and rng.random() < 0.9)) for m in (1, 2) for i in range(n)]
+    return [(m, base + dt.timedelta(seconds=i * 0.5), bool(rng.random() < (0.9 if on[i] else 0.03))) for m in (1, 2) for i in range(n)]
 
 
-def test_streamed_recordings_equal_the_table(spark, tmp_path):
-    rows, rule = frames_of(spark), Sessions(confirm=3, gap_s=4, longest_s=25, cooldown_s=1)
-    end = [(m, dt.datetime(2024, 1, 2), False) for m in (1, 2)]
-    df = spark.createDataFrame(rows + end, "machine int, ts timestamp, active boolean")
-    want = sorted((r.machine, round(r.start_s, 3), round(r.end_s, 3), r.n) for r in monitor.recordings_of(df, rule).collect())
+def recorded(frames, rule):
+    """The published recorder as a plain loop over one machine's (t, active): buffer, streak, trigger, then the frame is written."""
+    out, buffer, streak, recording, last_motion, last_trigger = [], [], 0, None, None, None
+    for number, (t, active) in enumerate(frames):
+        buffer = (buffer + [number])[-int(rule.before_s * rule.fps) :]
+        motion = False
+        if number > 0:
+            streak = streak + 1 if active else max(0, streak - 1)
+            if streak >= rule.confirm:
+                motion, last_motion, streak = True, t, rule.confirm
+        if motion and recording is None and (last_trigger is None or t - last_trigger >= rule.cooldown_s):
+            recording, last_trigger, began = list(buffer), t, t
+        elif recording is not None:
+            recording.append(number)
+        if recording is not None and ((last_motion is not None and t - last_motion >= rule.gap_s) or t - began >= rule.longest_s):
+            out.append((began, t, recording))
+            recording, streak, last_motion = None, 0, None
+    if recording is not None:
+        out.append((began, t, recording))
+    return [(b, e, len(r), r[0], r[-1]) for b, e, r in out]
+
+
+RULE = Sessions(confirm=3, gap_s=4, longest_s=25, cooldown_s=1, before_s=2, fps=2)
+
+
+def looped(rows, rule):
+    at = lambda ts: (ts - dt.datetime(1970, 1, 1)).total_seconds()
+    return sorted((m, *r) for m in {k for k, _, _ in rows} for r in recorded([(at(ts), on) for k, ts, on in rows if k == m], rule))
+
+
+_RECORDED = "machine, unix_micros(start) / 1e6 s, unix_micros(end) / 1e6 e, n, first_frame, last_frame"
+
+
+def test_streamed_recordings_equal_a_loop(spark, tmp_path):
+    rows = frames_of(spark) + [(m, dt.datetime(2024, 1, 2), False) for m in (1, 2)]
+    df = spark.createDataFrame(rows, "machine int, ts timestamp, active boolean")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    query = monitor.recordings(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rule).writeStream.format("memory").queryName("recorded").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = monitor.recordings(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), RULE).writeStream.format("memory").queryName("recorded").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
     query.start().awaitTermination(120)
-    got = sorted((r.machine, round(r.s, 3), round(r.e, 3), r.n) for r in spark.sql("select machine, unix_micros(start) / 1e6 s, unix_micros(end) / 1e6 e, n from recorded").collect())
-    assert got == want and len(got) > 4
+    got = sorted(map(tuple, spark.sql(f"select {_RECORDED} from recorded").collect()))
+    assert got == looped(rows, RULE) and len(got) > 4
 
 
-def test_recordings_carry_over_batches(spark):
-    rows, rule = frames_of(spark), Sessions(confirm=3, gap_s=4, longest_s=25, cooldown_s=1)
-    want = []
-    for m in (1, 2):
-        state = monitor.fresh()
-        for t, on in [((ts - dt.datetime(1970, 1, 1)).total_seconds(), on) for k, ts, on in rows if k == m]:
-            if (c := monitor.step(state, t, on, rule)) is not None:
-                want.append((m, c["start"], c["end"], c["n"]))
-        if state["start"] is not None:
-            want.append((m, state["start"], state["last"], state["n"]))
+@pytest.mark.parametrize("rule", [RULE, Sessions(fps=2), Sessions(confirm=2, gap_s=1, longest_s=3, cooldown_s=30, before_s=60, fps=2)])
+def test_recordings_equal_a_loop_and_carry_over_batches(spark, rule):
+    rows = frames_of(spark)
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(size, 37)
     try:
         out = monitor.recordings_of(spark.createDataFrame(rows, "machine int, ts timestamp, active boolean").orderBy(F.rand(3)), rule)
         assert "InPandas" not in out._jdf.queryExecution().toString()  # no whole series as a frame
-        assert sorted(map(tuple, out.collect())) == want
+        assert sorted(map(tuple, out.selectExpr(*_RECORDED.split(", ")).collect())) == looped(rows, rule)
+        first = out.orderBy("machine", "start").first()
+        assert first.clip == first.start.strftime("%Y%m%d_%H%M%S")
+        assert abs(first.lost_s - ((first.end - first.start).total_seconds() - (first.n / rule.fps - rule.before_s))) < 1e-3
     finally:
         spark.conf.unset(size)
 
 
+def test_motion_between_frames(spark):
+    frames = clip(12, (4, 9))
+    rows = [(m, i, 24, 24, bytearray(f.tobytes())) for m in (1, 2) for i, f in enumerate(frames)]
+    out = extract.moving(spark.createDataFrame(rows, "machine int, ts int, h int, w int, pixels binary").orderBy(F.rand(2)))
+    soft = K.blur(frames).astype(int)
+    want = [False] + [bool(K.majority(np.abs(soft[i] - soft[i - 1]) > 15).sum() >= 60) for i in range(1, 12)]
+    assert sum(want) >= 5
+    assert [(r.machine, r.ts, r.active) for r in out.orderBy("machine", "ts").collect()] == [(m, i, a) for m in (1, 2) for i, a in enumerate(want)]
+
+
+def test_files_to_features(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    whole = np.repeat(rng.integers(40, 220, (1, 40, 48)), 240, axis=0).astype(np.uint8)
+    whole[:, 8:32, 10:34] = clip()
+    for name, head, more in (("a", b"YUV4MPEG2 W48 H40 F30:1 Ip A1:1 C420jpeg", 40 * 48 // 2), ("b", b"YUV4MPEG2 W48 H40 F60:2 Cmono", 0)):
+        (tmp_path / f"{name}.y4m").write_bytes(head + b"\n" + b"".join(b"FRAME\n" + f.tobytes() + bytes(more) for f in whole) + b"FRAME\ncut")
+    (tmp_path / "c.y4m").write_bytes(b"no clip at all")
+    clips = files.read_clips(spark, str(tmp_path)).withColumn("key", F.regexp_replace("file", r"\.y4m$", ""))
+    (tmp_path / "r.json").write_text('{"a.jpg": [10, 8, 24, 24], "b.jpg": [10, 8, 24, 24], "c.jpg": [0, 0, 5, 5]}')
+    found, missed = files.with_regions(clips, files.read_regions(spark, str(tmp_path / "r.json")))
+    got = {r.file: r for r in extract.extract_clips(found).collect()}
+    assert missed.isEmpty() and {k: r.status for k, r in got.items()} == {"a.y4m": "OK", "b.y4m": "OK", "c.y4m": "TOO_SHORT"}
+    status, want = extract.clip_signals(whole, 30.0, box=(10, 8, 34, 32))
+    assert status == "OK" and got["a.y4m"].pump_start_s == got["b.y4m"].pump_start_s == round(want["start"] / 30, 2)
+    # blurred whole, then cut: what lies beside the region counts at its border
+    assert not np.array_equal(K.blur(whole[:1, 8:32, 10:34]), K.blur(whole[:1])[:, 8:32, 10:34])
+
+
+def test_kernels_against_their_definitions():
+    x, fps = wave(3.3, 200, noise=0.4), 30.0
+    f, psd = K.welch(x, fps, 64)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
+    parts = [x[a : a + 64] for a in range(0, 200 - 63, 32)]
+    power = np.array([[abs(sum((p[j] - p.mean()) * w[j] * np.exp(-2j * np.pi * k * j / 64) for j in range(64))) ** 2 for k in range(33)] for p in parts]).mean(axis=0) / (fps * (w**2).sum())
+    power[1:-1] *= 2
+    assert np.allclose(psd, power) and np.allclose(f, np.arange(33) * fps / 64)
+
+    def stands_above(x, i):
+        a = i
+        while a > 0 and x[a - 1] <= x[i]:
+            a -= 1
+        b = i
+        while b < len(x) - 1 and x[b + 1] <= x[i]:
+            b += 1
+        return x[i] - max(min(x[a : i + 1]), min(x[i : b + 1]))
+
+    tops = K.local_maxima(x)
+    assert len(tops) > 20 and all(abs(K.prominence(x, i) - stands_above(x, i)) < 1e-12 for i in tops)
+
+
+def test_arrays_equal_the_kernel(spark):
+    x = wave(3.0, noise=0.1)
+    got = {r.k: r for r in extract.extract_arrays(spark.createDataFrame([(1, x.tolist()), (2, None), (3, [1.0, 2.0])], "k int, v array<double>"), "k", "v").collect()}
+    want = extract.signal_features({"diff": x}, 30.0)
+    assert all(abs(got[1][f] - v) < 1e-12 for f, v in want.items()) and got[2].motion_cv == got[3].motion_cv == 0
+
+
+def test_grouped_quantiles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", float(v), None if i % 7 == 0 else float(i % 5)) for i, v in enumerate(rng.exponential(size=20_000))]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["g", "x", "y"]), "g string, x double, y double")
+    got = grouped_quantiles(df, ["g"], ["x", "y"], [0.0, 0.25, 0.99])
+    for g in (None, "g1", "g2"):
+        for c, j in (("x", 1), ("y", 2)):
+            assert np.allclose(got[c, g], np.quantile([r[j] for r in rows if r[0] == g and r[j] is not None and r[j] == r[j]], [0, 0.25, 0.99]))
+
+
+def test_hot_values_have_ranks(spark):
+    df = spark.range(9000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") / 100).alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    rows = df.collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    tails = [(-np.log((v[:, None] >= u).mean(axis=1)), -np.log((v[:, None] <= u).mean(axis=1)), ((v - v.mean()) ** 3).mean()) for v, u in ((x, x), (y, y))]
+    want = np.maximum.reduce([sum(t[0] for t in tails), sum(t[1] for t in tails), sum(t[0] if t[2] < 0 else t[1] for t in tails)])
+    got = {r.k: r.score for r in detectors.ecod(df, ["x", "y"], "k").collect()}
+    assert np.allclose([got[r.k] for r in rows], want)
+
+
+def test_report_tables(spark, tmp_path):
+    folds = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 2, 3, 6])], "fold long, score double")
+    assert evaluation.fold_report(folds).first().asDict() == {"mean": 2.8, "std": np.std([1, 2, 2, 3, 6]), "max": 6.0, "n": 5}
+    bars = evaluation.fold_histogram(folds, 5.5, 5).orderBy("bar").collect()
+    assert [(b["from"], b["to"], b.n, b.threshold) for b in bars] == [(1, 2, 1, 5.5), (2, 3, 2, 5.5), (3, 4, 1, 5.5), (4, 5, 0, 5.5), (5, 6, 1, 5.5)]
+    pairs = spark.createDataFrame([("motion_cv", "other", 0.98), ("top_bot_corr", "motion_cv", -0.5)], "a string, b string, r double")
+    assert [tuple(r) for r in evaluation.correlation_triangle(pairs).collect()] == [("Motion CV", "other", 0.98, True), ("Top-Bottom Corr.", "Motion CV", -0.5, False)]
+    named = evaluation.named(spark.createDataFrame([(3.0,), (1.0,)], "x double"), "normal", ["x"])
+    assert {(r.file, r.x) for r in named.collect()} == {("normal_0", 1.0), ("normal_1", 3.0)}
+    with pytest.warns(UserWarning, match="absent"):
+        assert prep.pruned(spark.createDataFrame([(1.0, 2.0), (2.0, 2.0)], "a double, b double"), ["a", "b"], ["absent"]) == ["a"]
+    for _ in range(2):
+        files.append_log(spark.createDataFrame([("x.mp4", 1.23456)], "file_name string, total_s double"), str(tmp_path / "log"))
+    assert [r.total_s for r in spark.read.option("header", True).csv(str(tmp_path / "log")).collect()] == ["1.235"] * 2
+
+
 def test_streamed_schedule_check_equals_the_table(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(1, d * 10 + k, base + dt.timedelta(days=d, hours=6 + 3 * k, seconds=(7 * d + k) % 5 + (4000 if (d, k) == (8, 1) else 0)), 40.0 + (d % 3) / 10 + (9 if (d, k) == (9, 2) else 0)) for d in range(10) for k in range(4)]

@@ -164,4 +164,4 @@ def test_figure_tables(spark, held_out):
     assert {r.kind: r["count"] for r in points.groupBy("kind").count().collect()} == {"normal": 29, "false_positive": 2, "detected": 22, "missed": 2}
     assert evaluation.patch_threshold({"threshold": 1.0}, held_out, F.col("motion_cv")) == {"threshold": 1.0}
     matrix = evaluation.detection_matrix(results)
-    assert matrix.count() == 24 and matrix.where("flag_vote = 1").count() == 24
+    assert matrix.count() == 24 and matrix.where("vote = 1").count() == 24
