@@ -1,27 +1,37 @@
 """Licence scans with a positional rare-token index, with DataFrame functions only.
 
-Of each template the RARE words with the highest inverse document frequency (over all documents) are
-posted with their places. A file's words that are posted give (template, place where it would begin);
-where AGREE of a template's postings meet, its mandatory key phrase is compared word by word at its
-place, and the share of all the template's words that stand where they should is the score. Each file
-is handled in its own row: nothing but the counts of the templates' words is shuffled.
-
-Null texts are empty: no words, no labels (an empty string), score 0.
+All words of the templates are posted with their places. Each text is split into words once, and of it
+only the places of template words are kept (`located`). A file's words of high inverse document frequency
+(over all documents; at most COMMON of them have the word, or it is among the RARE rarest of a template)
+are looked up, and each posting gives (template, place where it would begin). Where AGREE of a template's
+rare words meet, its mandatory key phrase is compared word by word at its place, and the share of all the
+template's words that stand where they should is the score. Each file is handled in its own row: nothing
+but the counts of the templates' words is shuffled.
+
+Null and empty texts have no words: no labels (an empty string), score 0. Repeated rows and ids are files
+of their own; of several places of a label the best counts; an empty table gives none. A long text costs
+time in proportion to its words.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import written
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base rules and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Postings of a template, and the share of them that has to meet.
-RARE, AGREE = 4, 0.75
+#: Rarest words of a template that are looked up however common, share of documents up to which any word is, and the share of them that has to meet.
+RARE, COMMON, AGREE = 4, 0.05, 0.75
 
 
 @dataclass(frozen=True)
@@ -30,116 +40,149 @@ class Template:
     text: str
     key_phrase: str
 
+    @property
+    def words(self) -> list[str]:
+        return re.findall(WORD, self.text.lower())
+
 
 #: Notices of public licences, in the words they are commonly given in.
 TEMPLATES = (
     Template("apache", "licensed under the apache license version 2 0", "apache license"),
+    Template(
+        "apache",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under
+        the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+        "except in compliance with the license",
+    ),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    Template(
+        "bsd",
+        """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in
+        binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution.""",
+        "must retain the above copyright notice",
+    ),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
     Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    Template(
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies.""",
+        "for any purpose with or without fee",
+    ),
     Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     Template("mit", "released under the mit license", "mit license"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    Template(
+        "mit",
+        """to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+        "to deal in the software without restriction",
+    ),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
 
 def words(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), _BETWEEN), "")
+
+
+def vocabulary(templates: Sequence[Template] = TEMPLATES) -> list[str]:
+    return sorted({w for t in templates for w in t.words} | {w for p, _ in PHRASES for w in p.split()})
 
 
-def strings(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+def located(docs: DataFrame, id_col: str, text_col: str, vocab: Sequence[str]) -> DataFrame:
+    """id, n_words and `hits`: the places of template words, as place * (words of the vocabulary + 1) + number of the word, from 1."""
+    own, base = F.array(*map(F.lit, vocab)), len(vocab) + 1
+    split = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("words"))
+    hit = lambda word, i: F.when(word.isin(list(vocab)), F.array_position(own, word) + i.cast("long") * base)
+    return written(split.select("id", F.size("words").cast("long").alias("n_words"), F.array_compact(F.transform("words", hit)).alias("hits")), "located")
 
 
-def document_frequencies(tokenised: DataFrame, templates: Sequence[Template] = TEMPLATES) -> tuple[int, dict[str, int]]:
+def document_frequencies(found: DataFrame, vocab: Sequence[str]) -> tuple[int, dict[str, int]]:
     """The number of documents, and for each template word how many have it. Only template words, a fixed number, come to the driver."""
-    vocabulary = sorted({w for t in templates for w in t.text.split()})
-    found = tokenised.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("words", strings(vocabulary)))).alias("word")).groupBy("word").count().collect()
-    counts = {r[0]: r[1] for r in found}
-    return counts.pop("", 0), counts
+    own = F.concat(F.array(F.lit(0).cast("long")), F.array_distinct(F.transform("hits", lambda v: v % (len(vocab) + 1))))
+    counts = {int(r[0]): r[1] for r in found.select(F.explode(own).alias("word")).groupBy("word").count().collect()}
+    return counts.get(0, 0), {w: counts.get(k + 1, 0) for k, w in enumerate(vocab)}
 
 
-def postings(counts: dict[str, int], templates: Sequence[Template] = TEMPLATES, rare: int = RARE) -> list[list[tuple[str, int]]]:
-    """For each template the places of its `rare` words that the fewest documents have."""
-    out = []
+def rare_words(n: int, counts: dict[str, int], templates: Sequence[Template] = TEMPLATES, rare: int = RARE, common: float = COMMON) -> set[str]:
+    """Words of high inverse document frequency, and the `rare` rarest of each template."""
+    out = {w for w, k in counts.items() if k <= common * n}
     for t in templates:
-        own = t.text.split()
-        chosen = sorted(set(own), key=lambda w: (counts.get(w, 0), w))[:rare]
-        out.append([(w, i) for i, w in enumerate(own) if w in chosen])
+        out |= set(sorted(set(t.words), key=lambda w: (counts.get(w, 0), w))[:rare])
     return out
 
 
-def _base(w: Column) -> Column:
-    """Places (start, label) of the base phrases; all of them end in one word."""
-    last = {p.split()[-1] for p, _ in PHRASES}
-    assert len(last) == 1
-    ends = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i) == F.lit(next(iter(last))))
+def _fixed(values: list) -> Column:
+    """Numbers, or lists of numbers, as one constant."""
+    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>" if values and isinstance(values[0], list) else "array<bigint>")
 
-    def label(i: Column) -> Column:
-        out = F.lit(None).cast("struct<start:bigint,label:string>")
-        for phrase, name in PHRASES:
-            own = phrase.split()
-            fits = i >= len(own) - 1
-            for j, word in enumerate(own[:-1]):
-                fits = fits & (F.get(w, i - (len(own) - 1 - j)) == F.lit(word))
-            out = F.when(fits, F.struct((i - (len(own) - 1)).cast("long").alias("start"), F.lit(name).alias("label"))).otherwise(out)
-        return out
 
-    none = F.array().cast("array<struct<start:bigint,label:string>>")
-    return F.when(F.array_contains(w, next(iter(last))), F.filter(F.transform(ends, label), lambda x: x.isNotNull())).otherwise(none)
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES, rare: int = RARE, agree: float = AGREE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES, rare: int = RARE, common: float = COMMON, agree: float = AGREE) -> DataFrame:
     """Per row of docs: its id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    tokenised = docs.select(F.col(id_col), words(F.col(text_col)).alias("words"))
-    _, counts = document_frequencies(tokenised, templates)
-    posted = postings(counts, templates, rare)
-    index: dict[str, list[tuple[int, int]]] = {}
-    for t, places in enumerate(posted):
-        for word, i in places:
-            index.setdefault(word, []).append((t, i))
-    names = sorted(index)
-    lists = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in index[n]]) for n in names])
-    w, none = F.col("words"), F.array().cast("array<struct<t:int,o:int>>")
-
-    def begins(word: Column, i: Column) -> Column:
-        at = F.array_position(strings(names), word)
-        return F.when(at > 0, F.transform(F.get(lists, (at - 1).cast("int")), lambda p: F.struct(p["t"].alias("t"), (i - p["i"]).alias("o"))))
-
-    found = F.flatten(F.filter(F.transform(w, begins), lambda x: x.isNotNull()))
-    looked_up = tokenised.select(id_col, "words", _base(w).alias("base"), F.when(F.arrays_overlap(w, strings(names)), F.array_sort(found)).otherwise(none).alias("met"))
-    needed = F.array(*[F.lit(max(1, -(-int(len(p) * agree * 100) // 100))) for p in posted])
-    met = F.col("met")
-    first_of_run = lambda x, i: (i == 0) | (F.get(met, i - 1) != x)
-    agreeing = F.filter(met, lambda x, i: first_of_run(x, i) & F.coalesce(F.get(met, (i + F.get(needed, x["t"]) - 1).cast("int")) == x, F.lit(False)))
-    met_up = looked_up.select(id_col, "words", "base", agreeing.alias("agreeing"))
-
-    texts = F.array(*[strings(t.text.split()) for t in templates])
-    keys = F.array(*[strings(t.key_phrase.split()) for t in templates])
-    places = F.array(*[F.lit(next(i for i in range(len(t.text.split())) if t.text.split()[i : i + len(t.key_phrase.split())] == t.key_phrase.split())) for t in templates])
-    labels = strings([t.label for t in templates])
-
-    def stands(own: Column, at: Column) -> Column:
-        """How many of the words `own` stand from place `at` on."""
-        return F.size(F.filter(F.transform(own, lambda word, j: (at + j >= 0) & (F.get(w, at + j) == word)), lambda x: x))
+    vocab = vocabulary(templates)
+    number, base = {w: k + 1 for k, w in enumerate(vocab)}, len(vocab) + 1
+    found = located(docs, id_col, text_col, vocab)
+    n, counts = document_frequencies(found, vocab)
+    chosen = rare_words(n, counts, templates, rare, common)
+    hits, place = F.col("hits"), lambda v: F.floor(v / base).cast("long")
+
+    # where the words of a phrase stand consecutively
+    def begins(word: str, k: int) -> Column:
+        return F.transform(F.filter(hits, lambda v: v % base == number[word]), lambda v: place(v) - k)
+
+    def starts(phrase: str) -> Column:
+        first, *others = [begins(word, k) for k, word in enumerate(phrase.split())]
+        return functools.reduce(F.array_intersect, others, first)
+
+    based = found.select("id", "n_words", "hits", *[starts(p).alias(f"_p{j}") for j, (p, _) in enumerate(PHRASES)])
+    all_starts = F.concat(*[f"_p{j}" for j in range(len(PHRASES))])
+    base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_p{j}") > 0, F.lit(label)) for j, (_, label) in enumerate(PHRASES)]))))
+    based = based.select("id", "n_words", "hits", all_starts.alias("_starts"), base_labels.alias("_base"))
+
+    # postings: for each chosen word (template, place), as numbers; a template that begins at o is template * reach + shift + o
+    reach, shift = 1 << 40, 1 << 20
+    posted = {number[w]: [t * reach + shift - i for t, x in enumerate(templates) for i, own in enumerate(x.words) if own == w] for w in sorted(chosen)}
+    lists = _fixed([posted.get(k, []) for k in range(base)])
+    looked_up = F.filter(hits, lambda v: (v % base).isin(sorted(posted)))
+    votes = F.array_sort(F.flatten(F.transform(looked_up, lambda v: F.transform(F.get(lists, (v % base).cast("int")), lambda p: p + place(v)))))
+    needed = _fixed([max(1, -(-int(sum(w in chosen for w in t.words) * agree * 100) // 100)) for t in templates])
+    met = F.col("_met")
+    need = lambda x: F.get(needed, F.floor(x / reach).cast("int"))
+    run = lambda x, i: ((i == 0) | (F.get(met, i - 1) != x)) & F.coalesce(F.get(met, (i + need(x) - 1).cast("int")) == x, F.lit(False))
+    agreeing = based.withColumn("_met", votes).withColumn("_met", F.filter(met, run))
+
+    numbers = _fixed([[i * base + number[w] for i, w in enumerate(t.words)] for t in templates])
+    keys = []
+    for t in templates:
+        key = t.key_phrase.split()
+        at = next(i for i in range(len(t.words)) if t.words[i : i + len(key)] == key)
+        keys.append([(at + i) * base + number[w] for i, w in enumerate(key)])
+    keys = _fixed(keys)
+    labels = F.array(*[F.lit(t.label) for t in templates])
+
+    def standing(own: Column, begin: Column) -> Column:
+        """The share of the words `own` that stand where they should."""
+        return F.size(F.array_intersect(hits, F.transform(own, lambda v: v + begin * base))) / F.size(own)
 
     def verified(x: Column) -> Column:
-        key = F.get(keys, x["t"])
-        whole = stands(key, (x["o"] + F.get(places, x["t"])).cast("int")) == F.size(key)
-        own = F.get(texts, x["t"])
-        return F.when(whole, F.struct(F.get(labels, x["t"]).alias("label"), (stands(own, x["o"]) / F.size(own)).alias("score")))
-
-    more = F.when(F.size("agreeing") > 0, F.filter(F.transform("agreeing", verified), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
-    checked = met_up.select(id_col, F.size("words").cast("long").alias("n_words"), "base", more.alias("more"))
-    base_labels = F.array_distinct(F.col("base.label"))
-    starts = F.col("base.start")
-    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("more.score")), F.lit(0.0)))
+        t, begin = F.floor(x / reach).cast("int"), x % reach - shift
+        whole = standing(F.get(keys, t), begin) == 1
+        return F.when(whole, F.struct(F.get(labels, t).alias("label"), standing(F.get(numbers, t), begin).alias("score")))
+
+    more = F.when(F.size("_met") > 0, F.array_compact(F.transform("_met", verified))).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    checked = agreeing.select("id", "n_words", "_starts", "_base", more.alias("_more"))
+    score = F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("_more.score")), F.lit(0.0)))
     return checked.select(
-        id_col, "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        F.array_join(F.array_sort(base_labels), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base_labels, F.col("more.label"))), ",").alias("labels"), F.round(score, 6).alias("score"),
+        F.col("id").alias(id_col), "n_words", F.size("_starts").cast("long").alias("n_base"), F.array_min("_starts").alias("first_word"), F.array_max("_starts").alias("last_word"),
+        F.array_join("_base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("_base", F.col("_more.label"))), ",").alias("labels"), F.round(score, 6).alias("score"),
     )

@@ -2,7 +2,7 @@ import re
 
 from tests.llm.texts import TEXTS, docs
 
-from pulsegrid.llm.licences import TEMPLATES, postings, scan
+from pulsegrid.llm.licences import AGREE, COMMON, RARE, TEMPLATES, Template, rare_words, scan, vocabulary
 
 MORE = [
     (30, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (31, "mit license apache license general public license " * 300), (32, "Licensed under CC BY-NC 4.0."), (33, "Licensed under cc by something nc 4 0"),
@@ -12,13 +12,54 @@ MORE = [
 ALL = TEXTS + MORE
 
 
+WHOLE = [
+    (50, "/* " + TEMPLATES[1].text + " */"), (51, " ".join(t.text for t in TEMPLATES)), (52, TEMPLATES[1].text.replace("conditions", "terms").replace("express", "given")), (53, TEMPLATES[1].text[40:]),
+    (54, "once " + TEMPLATES[13].text + " and again " + TEMPLATES[13].text.upper()), (55, TEMPLATES[13].text.replace("restriction", "limits")), (56, "\n".join(reversed(TEMPLATES[3].text.split()))),
+]
+ALL += WHOLE
+
+
+def split(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+
+
 def brute(text):
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    w = split(text)
     found = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for p in [phrase.split()] for i in range(len(w)) if w[i : i + len(p)] == p]
     starts = [i for i, _ in found]
     return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def matched(texts):
+    """Labels and score of each text, by laying every template on every place."""
+    sets = [set(split(t)) for _, t in texts]
+    counts = {w: sum(w in own for own in sets) for w in vocabulary()}
+    chosen = {w for w, k in counts.items() if k <= COMMON * len(texts)}
+    for t in TEMPLATES:
+        chosen |= set(sorted(set(t.words), key=lambda w: (counts[w], w))[:RARE])
+    for i, text in texts:
+        w, (_, n_base, _, _, base) = split(text), brute(text)
+        labels, best = set(filter(None, base.split(","))), 1.0 if n_base else 0.0
+        have = set(w)
+        for t in TEMPLATES:
+            key, rare = t.key_phrase.split(), [j for j, x in enumerate(t.words) if x in chosen]
+            at = next(j for j in range(len(t.words)) if t.words[j : j + len(key)] == key)
+            for begin in range(-len(t.words), len(w)) if set(key) <= have else ():
+                stands = lambda j, x: 0 <= begin + j < len(w) and w[begin + j] == x  # noqa: B023, E731
+                if sum(stands(j, t.words[j]) for j in rare) >= AGREE * len(rare) and all(stands(at + j, x) for j, x in enumerate(key)):
+                    labels.add(t.label)
+                    best = max(best, sum(stands(j, x) for j, x in enumerate(t.words)) / len(t.words))
+        yield i, ",".join(sorted(labels)), round(best, 6)
+
+
+def test_labels_and_score_equal_brute_force(spark):
+    got = scan(docs(spark, ALL)).collect()
+    assert sorted(((r.doc_id, r.labels, r.score) for r in got), key=str) == sorted(matched(ALL), key=str)
+    of = {r.doc_id: r for r in got}
+    assert of[50].labels == "apache" and of[50].score == 1 and len(of[51].labels.split(",")) == len({t.label for t in TEMPLATES})
+    assert of[54].labels == "mit" and of[55].labels == "" and of[56].labels == "" and 0.9 < of[52].score
+
+
 def test_base_equals_brute_force_and_the_method_adds_labels(spark):
     got = scan(docs(spark, ALL)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=str) == sorted(((i, *brute(t)) for i, t in ALL), key=str)
@@ -28,11 +69,12 @@ def test_base_equals_brute_force_and_the_method_adds_labels(spark):
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
-def test_postings_are_the_words_of_fewest_documents():
-    counts = {w: 5 for t in TEMPLATES for w in t.text.split()} | {"mit": 1, "released": 2, "under": 900, "the": 1000}
-    posted = dict(zip((t.text for t in TEMPLATES), postings(counts), strict=True))
-    assert posted["released under the mit license"] == [("released", 0), ("under", 1), ("mit", 3), ("license", 4)]
-    assert all(t.key_phrase in t.text for t in TEMPLATES)
+def test_words_that_are_looked_up():
+    counts = {w: 5 for t in TEMPLATES for w in t.words} | {"mit": 1, "released": 2, "under": 900, "the": 1000, "license": 800}
+    chosen = rare_words(1000, counts)
+    assert {"released", "mit", "license", "under"} <= chosen and "the" not in chosen  # four of the template's five words, however common
+    assert rare_words(1000, {"a": 51, "b": 50, "c": 60}, [Template("x", "a b c", "a")], rare=1) == {"b"}
+    assert all(t.key_phrase in " ".join(t.words) for t in TEMPLATES)
 
 
 def test_empty_table_and_no_python(spark):
