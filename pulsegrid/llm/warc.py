@@ -146,6 +146,38 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return written(rows.mapInArrow(run, "path string, bytes long"), "archives")
 
 
+class _Readable:
+    """A stream that ends where it is damaged: what follows in the archive is lost, what came before is not."""
+
+    def __init__(self, stream: BinaryIO) -> None:
+        self.stream, self.left, self.broken = stream, b"", False
+
+    def _more(self) -> bool:
+        if self.broken:
+            return False
+        try:
+            more = self.stream.read1(1 << 16)
+        except (EOFError, OSError, zlib.error):
+            more, self.broken = b"", True
+        self.left += more
+        return bool(more)
+
+    def readline(self) -> bytes:
+        while (end := self.left.find(b"\n") + 1) == 0 and self._more():
+            pass
+        end = end or len(self.left)
+        out, self.left = self.left[:end], self.left[end:]
+        return out
+
+    def read(self, size: int) -> bytes:
+        parts, left = [], size
+        while left > 0 and (self.left or self._more()):
+            parts.append(self.left[:left])
+            self.left = self.left[left:]
+            left -= len(parts[-1])
+        return b"".join(parts)
+
+
 def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bool]]:
     """Headers (names in lower case), block, and whether it is complete, of each record of an uncompressed stream."""
     while line := stream.readline():
@@ -187,7 +219,7 @@ def records(archives: DataFrame, segmented: bool | None = None) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 fs, at = filesystem(path)
                 with fs.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                    for head, block, whole in parse(stream):
+                    for head, block, whole in parse(_Readable(stream)):
                         number = head.get("warc-segment-number", "")
                         if segmented is not None and segmented != bool(number):
                             continue

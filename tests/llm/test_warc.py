@@ -83,3 +83,21 @@ def test_damaged_archives_do_not_crash():
     good = gzip.decompress(warc.record("response", "urn:page:1:0", {}, b"abc"))
     assert [(b, w) for _, b, w in warc.parse(io.BytesIO(b"junk\r\n" + good + good[:-6]))] == [(b"abc", True), (b"a", False)]
     assert list(warc.parse(io.BytesIO(b""))) == []
+
+
+@pytest.mark.parametrize("cut", [slice(0, -40), slice(0, 200), slice(0, 0)])
+def test_a_cut_archive_gives_what_comes_before(spark, tmp_path, cut):
+    rows = [(i, None, f"page {i} " * 30) for i in range(1, 6)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    path = archives.first().path.removeprefix("file:")
+    whole = open(path, "rb").read()
+    want = {r.page_id for r in warc.read_archives(archives).collect()}
+    open(path, "wb").write(whole[cut])
+    got = warc.read_archives(archives).collect()
+    assert want == {1, 2, 3, 4, 5} and {r.page_id for r in got if r.status == "ok"} < want
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 255
+    open(path, "wb").write(bytes(flipped))
+    got = warc.read_archives(archives).collect()
+    assert 1 in {r.page_id for r in got if r.status == "ok"} and len(got) <= 5
+    assert all(bytes(r.payload).decode() == f"page {r.page_id} " * 30 for r in got if r.status == "ok")
