@@ -20,8 +20,8 @@ from pulsegrid.llm.common import held_out, text_buffer, written
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 #: Rows of each language that a model is fitted on at most (a documented bound), and the characters taken from a seeded place of each.
 FIT_ROWS, FIT_CHARS = 400, 1024
-#: Languages whose counts may be broadcast; beyond that they are joined by a shuffle.
-MANY_LANGUAGES = 10_000
+#: Languages that a model tells apart, at most: those of most rows, of equals the first by name.
+LANGUAGES = 1000
 
 
 def has_letter(text: str | None) -> bool:
@@ -115,14 +115,13 @@ def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int =
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 3) -> Model:
-    """Fits on at most about `fit_rows` rows of each language, chosen by a hash of the id, outside the held-out fold.
+    """Fits on at most about `fit_rows` rows of each of LANGUAGES languages, chosen by a hash of the id, outside the held-out fold.
 
     Some windows are cut short, so that short texts are known too. No labelled text: a model without languages.
     """
     able = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = written(able.groupBy("lang").count().select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("share")), "languages")
-    if share.count() <= MANY_LANGUAGES:
-        share = F.broadcast(share)
+    share = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = F.broadcast(written(share.select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("share")), "languages"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.char_length("text") - FIT_CHARS + 1, F.lit(1))).cast("int") + 1
     rows = able.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 50)) < F.col("share") * (1 << 50))
     got = sorted(rows.select("doc_id", "lang", F.substr("text", start, F.lit(FIT_CHARS)).alias("text")).where("text is not null").collect())

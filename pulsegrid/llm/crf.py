@@ -227,11 +227,14 @@ def fit(features: np.ndarray, lines: np.ndarray, labels: np.ndarray, epochs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
-    """On a bounded sample of labelled rows outside the held-out fold, chosen by a hash of the id. No labels: all lines are content."""
+    """On a bounded sample of labelled ids outside the held-out fold, chosen by a hash of the id. No labels: all lines are content.
+
+    Of several texts of an id the first in order is taken, of several labels the largest.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = bounded_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)).between(1, FIT_CHARS))
-    got = sorted(rows.select("doc_id", "quality", "text").limit(2 * fit_rows).collect())
+    got = sorted(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect())
     if not got:
         return fit(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0, int))
     raw, offsets = text_buffer(pa.array([r[2] for r in got], pa.string()))

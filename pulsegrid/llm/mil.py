@@ -142,12 +142,12 @@ def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: in
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
     """Fits on a bounded sample, chosen by a hash of the id, of the labelled rows outside the held-out fold.
 
-    Of several labels of one id the largest counts; null labels count as none.
+    Of several labels of one id the largest counts, of several texts the first in order; null labels count as none.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = bounded_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", fit_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS)
-    got = sorted(rows.select("doc_id", "quality", "text").limit(2 * fit_rows).collect(), key=lambda r: (r[0], r[2] or ""))
+    got = sorted(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect(), key=lambda r: r[0])
     raw, offsets = text_buffer(pa.array([r[2] for r in got], pa.string()))
     features, counts = passages(raw, offsets) if got else (np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64))
     return fit(features, counts, np.array([r[1] for r in got], np.float64), seed=seed)
