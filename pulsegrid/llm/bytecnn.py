@@ -3,6 +3,10 @@
 A text is cut into windows of WINDOW bytes (the last padded with zeros). Filters of several widths,
 each a table of weights by place and byte, are applied everywhere in a window; their largest values,
 rectified, go to a softmax. A text's probabilities are its windows' mean, weighted by their bytes.
+
+Null and empty texts and those without a letter are `und` with score 0. Of languages of equal probability the
+first by name is taken. Rows are told each for itself, repeated ones and ids too; an empty table gives none,
+and one without languages a model that says `und`. Long texts are read whole, window by window.
 """
 
 from __future__ import annotations

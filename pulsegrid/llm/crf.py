@@ -3,8 +3,12 @@
 A text's lines that have a word are labelled by Viterbi decoding; the share of words that stand in
 content lines decides whether a text that passes the base rules is kept. Only documents are labelled:
 a good one's lines are content; of a bad one's, those that a logistic model of single lines takes for
-boilerplate are, the most likely one always. The field is trained on these labels. A null or empty text has no words and fails the
-base rules; so do texts of under 50 words and those where over half the words repeat.
+boilerplate are, the most likely one always. The field is trained on these labels.
+
+A null or empty text has no words and fails the base rules; so do texts of under 50 words and those where
+over half the words repeat. Of label sequences of equal score the one with content, looked at from the last
+line on, is taken. Rows are judged each for itself, repeated ones and ids too; an empty table gives none, and
+one without labels a field by which all lines are content. Only id and text are read, so no name can clash.
 """
 
 from __future__ import annotations

@@ -4,6 +4,10 @@ A text is a bag of passages of PASSAGE bytes. Each is encoded from the frequenci
 pairs and the share of words that repeat the word before; gated attention weighs the encodings, and a
 logistic layer scores their weighted sum. Encoder, attention and output are learned together from
 document labels only. A null or empty text is one empty passage, and is scored like any other.
+
+Equal texts have equal scores; repeated rows and ids are rows of their own, and an empty table gives none.
+Without labels all scores are 0.5, with labels of one kind that kind. `score` reads id and text alone, and
+`keep_good` gives rows back as they are, so no name of a column can clash.
 """
 
 from __future__ import annotations
