@@ -101,3 +101,38 @@ def test_no_labels_keep_what_passes_the_base_rules(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept != r.base_failed for r in crf.judge(docs(spark), crf.train(docs(spark), none)).collect())
     assert {r.score for r in mil.score(docs(spark), mil.train(docs(spark), none)).collect()} == {0.5}
+
+
+def test_cnn_convolution_and_pooling_by_hand():
+    rng = np.random.default_rng(5)
+    model = bytecnn.fit(rng.integers(0, 256, (8, 20)).astype(np.uint8), np.arange(8) % 2, ["a", "b"], epochs=1)
+    window = rng.integers(0, 256, (1, 20)).astype(np.uint8)
+    pooled = [max(sum(tables[j][window[0, i + j], f] for j in range(len(tables))) for i in range(20 - len(tables) + 1)) for tables in model.filters for f in range(bytecnn.FILTERS)]
+    top, _ = model.pooled(window)
+    assert np.allclose(top[0], np.array(pooled) + model.bias, atol=1e-5) and np.allclose(model.highest(window), top)
+    logits = np.maximum(top[0], 0) @ model.dense + model.dense0
+    assert np.allclose(model.probabilities(window)[0], np.exp(logits) / np.exp(logits).sum(), atol=1e-5)
+
+
+def test_trained_cnn_on_awkward_rows_and_empty_table(spark):
+    rng = np.random.default_rng(6)
+    model = bytecnn.fit(rng.integers(97, 123, (60, bytecnn.WINDOW)).astype(np.uint8), np.arange(60) % 2, ["a", "b"], epochs=2)
+    got = bytecnn.predict(docs(spark), model).collect()
+    assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 for r in got)
+    unlettered = {i for i, t in TEXTS if not any(map(str.isalpha, t or ""))}
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == unlettered and {r.lang_pred for r in got} <= {"a", "b", "und"}
+    assert bytecnn.predict(docs(spark, []), model).collect() == []
+
+
+def test_mil_score_by_hand():
+    rng = np.random.default_rng(9)
+    counts, x = np.array([3, 1, 2]), rng.random((6, mil.WIDTH)).astype(np.float32)
+    model = mil.fit(x, counts, np.array([1.0, 0.0, 1.0]), epochs=3)
+    w, at = model.weights, 0
+    for n, score in zip(counts, model.scores(x, counts), strict=True):
+        h = np.tanh((x[at : at + n] - model.mean) / model.scale @ w["enc"] + w["enc0"])
+        e = np.array([(np.tanh(v @ w["att"]) / (1 + np.exp(-(v @ w["gate"])))) @ w["out"] for v in h])
+        a = np.exp(e) / np.exp(e).sum()
+        z = sum(p * v for p, v in zip(a, h, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-(z @ w["cls"] + w["cls0"][0])))) < 1e-6
+        at += n
