@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.config import Sessions
 from pulsegrid.functions.columns import clipped, cv, scaled, seconds
-from pulsegrid.operators import detectors, evaluation, extract, prep, schedule, selection, signals
+from pulsegrid.operators import detectors, evaluation, extract, neighbours, prep, schedule, selection, signals
 from pulsegrid.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,9 +149,8 @@ q AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d, row_num
 SELECT q.a AS vec_id, round(avg(den.lrd) * (avg(greatest(kd.kdist, q.d)) + 1e-10), 6) AS score FROM q JOIN kd ON kd.a = q.b JOIN den ON den.a = q.b WHERE q.k <= 20 GROUP BY q.a""")
 def q13_local_outlier_factor(spark, sf_dir):
     features = [f"x{i}" for i in range(4)]
-    v = vectors(spark, sf_dir, 4)
-    model = spark.sparkContext.broadcast(detectors.LocalOutlierFactor.of(detectors.sampled(v.where("label = 0"), features), 20))
-    return detectors.scored(v, features, lambda x: model.value.score(x), "score").select("vec_id", r6("score").alias("score"))
+    factors = neighbours.local_outlier_factors(vectors(spark, sf_dir, 4), features, "vec_id", F.col("label") == 0)
+    return factors.select("vec_id", r6("score").alias("score"))
 
 
 @query("""SELECT event_id, round(coalesce(abs(value - lag(value) OVER w), 0), 6) AS change, coalesce(abs(value - lag(value) OVER w), 0) > 15 AS active FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
@@ -334,7 +333,7 @@ def q35_loo_threshold(spark, sf_dir):
 
 @query()
 def q36_sampled_detectors(spark, sf_dir):
-    """Isolation forest, robust covariance and one-class SVM, by number of rows flagged above the 0.99 quantile of the rows they learn from."""
+    """Scores of isolation forest, one-class SVM and robust covariance, fitted on the (sampled) rows of label 0, for all rows."""
     features = [f"x{i}" for i in range(8)]
     v = vectors(spark, sf_dir, 8)
     own = v.where("label = 0")
