@@ -158,3 +158,48 @@ SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50
        sha256(text) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.merkle import Manifest
+
+    docs = table(spark, sf_dir, "documents")
+    more = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0).cast("int")
+    return Manifest(docs, tampered={"n_chars": F.col("n_chars") + F.coalesce(more, F.lit(0))}).verified()
+
+
+def _trees(name: str, leaves: str) -> str:
+    """CTEs of all nodes of the trees of `leaves` (g, i, h), and of each tree's highest level."""
+    return f"""
+     {name}(g, l, i, h) AS (SELECT g, 0, i, h FROM {leaves} UNION ALL
+        SELECT g, any_value(l) + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}) WHERE n > 1 GROUP BY g, i // 2),
+     {name}_top AS (SELECT g, max(l) AS l FROM {name} GROUP BY g)"""
+
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE
+     crc_bits(c, v, k) AS (SELECT r, r::UBIGINT, 0 FROM range(256) t(r) UNION ALL
+        SELECT c, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+     crc_table AS (SELECT list(v ORDER BY c) AS t FROM crc_bits WHERE k = 8),
+     crc(doc_id, s, v) AS (SELECT DISTINCT doc_id, doc_id::VARCHAR, 4294967295::UBIGINT FROM documents WHERE doc_id IS NOT NULL UNION ALL
+        SELECT doc_id, substr(s, 2), xor(v >> 8, t[(xor(v, ascii(s)::UBIGINT) & 255)::BIGINT + 1]) FROM crc, crc_table WHERE s <> ''),
+     hit AS (SELECT doc_id FROM crc WHERE s = '' AND xor(v, 4294967295::UBIGINT) % 7 = 0),
+     signed AS (SELECT doc_id, lang, sha256({_LEAF.replace("{n_chars}", "n_chars")}) AS leaf, sha256({_LEAF.replace("{n_chars}", "(n_chars + (doc_id IN (FROM hit))::INT)")}) AS now FROM documents),
+     docs AS (SELECT *, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, now) - 1 AS i FROM signed),
+     leaves AS (SELECT g, i, leaf AS h FROM docs),{_trees("low", "leaves")},
+     subroots AS (SELECT g AS name, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, h FROM low SEMI JOIN low_top USING (g, l)),{_trees("high", "subroots")},
+     root AS (SELECT h AS root FROM high SEMI JOIN high_top USING (g, l)),
+     steps AS (
+        SELECT d.g, d.i, l.l, d.i >> l.l AS own, s.h FROM docs d JOIN (SELECT DISTINCT g, l FROM low) l USING (g) JOIN low_top t USING (g) LEFT JOIN low s ON s.g = d.g AND s.l = l.l AND s.i = xor(d.i >> l.l, 1) WHERE l.l < t.l
+        UNION ALL
+        SELECT d.g, d.i, 1000 + l.l, r.i >> l.l, s.h FROM docs d JOIN subroots r ON r.name = d.g JOIN (SELECT DISTINCT l FROM high) l ON l.l < (SELECT max(l) FROM high) LEFT JOIN high s ON s.l = l.l AND s.i = xor(r.i >> l.l, 1)),
+     paths AS (SELECT g, i, list(struct_pack(odd := own % 2 = 1, h := h) ORDER BY l) AS path, string_agg(h, '' ORDER BY l) AS siblings FROM steps GROUP BY g, i),
+     folds(g, i, k, h, path) AS (SELECT d.g, d.i, 1, d.now, coalesce(p.path, []) FROM docs d LEFT JOIN paths p USING (g, i) UNION ALL
+        SELECT g, i, k + 1, sha256(CASE WHEN path[k].h IS NULL THEN h WHEN path[k].odd THEN path[k].h || h ELSE h || path[k].h END), path FROM folds WHERE k <= len(path))
+SELECT d.doc_id, d.leaf, r.h AS subroot, root.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
+FROM docs d JOIN root ON true JOIN subroots r ON r.name = d.g LEFT JOIN paths p ON p.g = d.g AND p.i = d.i JOIN folds f ON f.g = d.g AND f.i = d.i AND f.k = len(f.path) + 1
+"""
