@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import delete, noted, written
+from pulsegrid.llm.common import delete, join_groups, noted, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) to `key, label`: every end of a link with the least key that it is connected with.
 
     Each round a key takes the least label among its neighbours', then its label's label, until none
-    changes; the number of rounds follows the logarithm of the longest path. Links to a hub are
-    summed up before they are shuffled; each round is written, so a lost executor loses no round,
-    and the one before is deleted.
+    changes; the number of rounds follows the logarithm of the longest path. A hub's label is looked up by
+    each of its links, and a large component's by each of its keys: those of hot keys (of which there are
+    few) are broadcast, so no task gets all of a hub's links. Each round is written, so a lost executor
+    loses no round, and the one before is deleted.
     """
     spark, links = links.sparkSession, links.select("a", "b").where("a <> b")
     with noted() as paths:
-        both = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-        labels = written(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("key")).alias("label")), "labels")
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        both = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "key"), "links")
+        labels = written(both.groupBy(F.col("a").alias("own")).agg(F.least(F.min("key"), F.col("own")).alias("label"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("own", "key"), "labels")
+        total, n, n_links = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count(F.lit(1)), F.sum("degree")).first()
         while total is not None:
-            near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
-            step = labels.join(near, F.col("key") == F.col("a")).select("key", F.least("label", "near").alias("next"))
-            jump = labels.select(F.col("key").alias("next"), F.col("label").alias("further"))
-            labels = written(step.join(jump, "next").select("key", F.least("next", "further").alias("label")), "labels")
-            delete(spark, paths.pop(-2))
+            near = join_groups(both, labels, "key", "degree", n_links).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
+            step = written(labels.join(near, "key").select("key", "degree", F.least("label", "near").alias("next")), "labels")
+            taken = step.groupBy("next").agg(F.count(F.lit(1)).alias("taken"))
+            jump = written(labels.select(F.col("key").alias("next"), F.col("label").alias("further")).join(taken, "next"), "labels")
+            labels = written(join_groups(step, jump, "next", "taken", n).select("key", F.least("next", "further").alias("label"), "degree"), "labels")
+            for path in paths[-4:-1]:
+                delete(spark, path)
+            del paths[-4:-1]
             if (now := labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]) == total:
                 break
             total = now
         delete(spark, paths[0])
-    return labels
+    return labels.select("key", "label")

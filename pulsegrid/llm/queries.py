@@ -203,3 +203,10 @@ WITH RECURSIVE
 SELECT d.doc_id, d.leaf, r.h AS subroot, root.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
 FROM docs d JOIN root ON true JOIN subroots r ON r.name = d.g LEFT JOIN paths p ON p.g = d.g AND p.i = d.i JOIN folds f ON f.g = d.g AND f.i = d.i AND f.k = len(f.path) + 1
 """
+
+
+@query
+def op12_rp_forest_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.rpforest import NearVectors
+
+    return NearVectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).components()
