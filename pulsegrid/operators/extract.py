@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
@@ -134,6 +135,15 @@ def extract_arrays(df: DataFrame, key: str, samples: str, fps: float = 30.0, fea
     return df.select(key, F.col(samples).cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{f} double" for f in features))
 
 
+def in_motion(before: tuple[int, int, bytes | None] | None, now: tuple[int, int, bytes | None], rule: Sessions) -> bool:
+    """Whether least_pixels or more changed between two gray frames (h, w, pixels). Without a frame before, without pixels, or of another size: no."""
+    if before is None or now[2] is None or before[2] is None or now[:2] != before[:2]:
+        return False
+    h, w, _ = now
+    soft = K.blur(np.stack([np.frombuffer(x, np.uint8).reshape(h, w) for x in (before[2], now[2])])).astype(int)
+    return bool(K.majority(np.abs(soft[1] - soft[0]) > rule.on_off_threshold).sum() >= rule.least_pixels)
+
+
 def moving(frames: DataFrame, rule: Sessions = Sessions(), order: Sequence[str] = ("ts",)) -> DataFrame:  # noqa: B008
     """frames (machine, h, w, pixels: the gray region, and the columns of `order`) with `active`: whether least_pixels or more changed since the machine's frame before.
 
@@ -145,13 +155,8 @@ def moving(frames: DataFrame, rule: Sessions = Sessions(), order: Sequence[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, active = {c: batch.column(c).to_pylist() for c in ("h", "w", "pixels", "_before")}, []
-            for h, w, pixels, last in zip(*own.values(), strict=True):
-                if last is None or pixels is None or last["pixels"] is None or (h, w) != (last["h"], last["w"]):
-                    active.append(False)
-                    continue
-                soft = K.blur(np.stack([np.frombuffer(x, np.uint8).reshape(h, w) for x in (last["pixels"], pixels)])).astype(int)
-                active.append(bool(K.majority(np.abs(soft[1] - soft[0]) > rule.on_off_threshold).sum() >= rule.least_pixels))
+            own = [batch.column(c).to_pylist() for c in ("h", "w", "pixels", "_before")]
+            active = [in_motion(last and (last["h"], last["w"], last["pixels"]), (h, w, pixels), rule) for h, w, pixels, last in zip(*own, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(active, pa.bool_())], [*names, "active"])
 
     kind = T.StructType([*[frames.schema[c] for c in names], T.StructField("active", T.BooleanType())])
@@ -201,18 +206,23 @@ def clip_signals(frames: np.ndarray, fps: float, p: Profile = OFFLINE, box: tupl
     return "OK", {"sharpness": sharp, "start": start, "end": end, "signals": pd.DataFrame(signals), "spatial": spatial}
 
 
-def extract_clips(clips: DataFrame, features: Sequence[str] = FEATURES, profile: Profile = OFFLINE) -> DataFrame:
+def extract_clips(clips: DataFrame, features: Sequence[str] = FEATURES, profile: Profile = OFFLINE, keep: Sequence[str] = (), timed: bool = False) -> DataFrame:
     """clips: file, fps, h, w, pixels (gray frames after each other) to a row for each clip, rejected ones too, with their status.
 
+    keep: further columns that are carried along. timed: with features_s, the seconds that the clip took.
+
     Frames are whole where clips have the columns roi_x1, roi_y1, roi_x2, roi_y2, else the region alone. A
     clip is a row and its frames stay in one task step; clips are spread over tasks as they are read.
     """
     region = [c for c in ("roi_x1", "roi_y1", "roi_x2", "roi_y2") if c in clips.columns]
+    kept = T.StructType([clips.schema[c] for c in keep] + [T.StructField("features_s", T.DoubleType())] * timed)
     schema = "file string, status string, pump_start_s double, pump_end_s double, pump_dur_s double, sharpness double, " + ", ".join(f"{f} double" for f in features)
+    schema = T.StructType([*kept.fields, *T.StructType.fromDDL(schema).fields])
 
     def run(batches):
         for batch in batches:
             for row in batch.itertuples():
+                began = time.perf_counter()
                 fps = row.fps if row.fps and row.fps > 0 else profile.fps
                 frames = np.frombuffer(row.pixels or b"", np.uint8).reshape(-1, row.h, row.w)
                 box = [getattr(row, c) for c in region]
@@ -221,6 +231,7 @@ def extract_clips(clips: DataFrame, features: Sequence[str] = FEATURES, profile:
                 if status == "OK":
                     values = signal_features(got["signals"], fps, features, profile) | {k: v for k, v in got["spatial"].items() if k in features}
                     out |= {"pump_start_s": round(got["start"] / fps, 2), "pump_end_s": round(got["end"] / fps, 2), "pump_dur_s": round((got["end"] - got["start"]) / fps, 2)} | {k: round(v, 6) for k, v in values.items()}
-                yield pd.DataFrame([out])
+                out |= {c: getattr(row, c) for c in keep} | ({"features_s": time.perf_counter() - began} if timed else {})
+                yield pd.DataFrame([out])[kept.names + [c for c in out if c not in kept.names]]
 
-    return clips.select("file", "fps", "h", "w", "pixels", *region).mapInPandas(run, schema)
+    return clips.select("file", "fps", "h", "w", "pixels", *region, *keep).mapInPandas(run, schema)

@@ -7,7 +7,7 @@ would be. Input is bounded by the source's options, not dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict
 
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsegrid.config import Sessions
 from pulsegrid.functions.columns import seconds
-from pulsegrid.sources.files import append_log
+from pulsegrid.sources.files import write_csv
 
 
 def step(state: dict, t: float, active: bool, rule: Sessions) -> dict | None:
@@ -53,15 +53,20 @@ def closed(state: dict, t: float) -> dict:
     return out
 
 
+def stamps(at: Sequence[float]) -> pd.DatetimeIndex:
+    """Seconds as timestamps of whole microseconds."""
+    return pd.to_datetime([round(t * 1e6) for t in at], unit="us")
+
+
 def fresh() -> dict:
     return {"level": 0, "start": None, "last": None, "trigger": None, "n": 0, "count": 0}
 
 
-def described(recordings: DataFrame, rule: Sessions) -> DataFrame:
+def described(recordings: DataFrame, rule: Sessions, keep: Sequence[str] = ()) -> DataFrame:
     """Recordings with the clip's id (the trigger's time), and how many seconds were lost: real time less that of the frames after the trigger."""
     real = seconds(F.col("end")) - seconds(F.col("start"))
     clip = F.date_format("start", "yyyyMMdd_HHmmss")
-    return recordings.select("machine", clip.alias("clip"), "start", "end", "n", "first_frame", "last_frame", F.round(real - (F.col("n") / rule.fps - rule.before_s), 3).alias("lost_s"))
+    return recordings.select("machine", clip.alias("clip"), "start", "end", "n", "first_frame", "last_frame", F.round(real - (F.col("n") / rule.fps - rule.before_s), 3).alias("lost_s"), *keep)
 
 
 class _Recorder(StatefulProcessor):
@@ -82,7 +87,7 @@ class _Recorder(StatefulProcessor):
 
     def _out(self, key: tuple, found: list[dict]) -> Iterator[pd.DataFrame]:
         if found:
-            times = {c: pd.to_datetime([x[c] for x in found], unit="s") for c in ("start", "end")}
+            times = {c: stamps([x[c] for x in found]) for c in ("start", "end")}
             yield pd.DataFrame({"machine": [key[0]] * len(found), **times, **{c: [int(x[c]) for x in found] for c in ("n", "first_frame", "last_frame")}})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -152,43 +157,53 @@ def recordings_of(frames: DataFrame, rule: Sessions = Sessions()) -> DataFrame:
     return described(found.withColumns({c: F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long")) for c in ("start", "end")}), rule)
 
 
+def checked_one(state: tuple, ts: pd.Timestamp, duration: float, model: dict) -> tuple[tuple, list[str]]:
+    """Takes one activation into a machine's state (time of its last one, the day and how many it had on it): the new state and the anomalies."""
+    (last, day, n), found = state, []
+    t, today = ts.timestamp(), ts.strftime("%Y-%m-%d")
+    n = 0 if day != today else n
+    hour = ts.hour + ts.minute / 60 + ts.second / 3600
+    if last is not None and abs(t - last - model["interval_mean"]) > 3 * model["interval_std"]:
+        found.append("missed_cycle" if t - last > model["interval_mean"] else "extra_cycle")
+    if abs(duration - model["duration_mean"]) > 3 * model["duration_std"]:
+        found.append("wrong_duration")
+    expected = model["expected_hours"]
+    if n < len(expected) and expected[n] is not None and abs(hour - expected[n]) > 0.5:
+        found.append("wrong_time")
+    return (t, today, n + 1), found
+
+
 class _Checker(StatefulProcessor):
-    """State of a machine: time of its last activation, the day and how many it had on it."""
+    """State of a machine: see checked_one. A row without a duration, of a clip that was rejected, passes by and changes nothing."""
 
-    def __init__(self, model: dict) -> None:
-        self.model = model
+    def __init__(self, model: dict, names: list[str]) -> None:
+        self.model, self.names = model, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("checker", "last double, day string, n int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, day, n = self.state.get() if self.state.exists() else (None, None, 0)
-        out, model = [], self.model
-        for row in pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable").itertuples():
-            t, today = row.ts.timestamp(), row.ts.strftime("%Y-%m-%d")
-            n, day = (0, today) if day != today else (n, day)
-            hour, found = row.ts.hour + row.ts.minute / 60 + row.ts.second / 3600, []
-            if last is not None and abs(t - last - model["interval_mean"]) > 3 * model["interval_std"]:
-                found.append("missed_cycle" if t - last > model["interval_mean"] else "extra_cycle")
-            if abs(row.duration - model["duration_mean"]) > 3 * model["duration_std"]:
-                found.append("wrong_duration")
-            expected = model["expected_hours"]
-            if n < len(expected) and expected[n] is not None and abs(hour - expected[n]) > 0.5:
-                found.append("wrong_time")
-            last, n = t, n + 1
-            out.append((key[0], row.id, found))
-        self.state.update((last, day, n))
-        yield pd.DataFrame(out, columns=["machine", "id", "anomalies"])
+        state = self.state.get() if self.state.exists() else (None, None, 0)
+        rows, found = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable"), []
+        for ts, duration in zip(rows["ts"], rows["duration"], strict=True):
+            anomalies = None
+            if not pd.isna(duration):
+                state, anomalies = checked_one(state, ts, duration, self.model)
+            found.append(anomalies)
+        self.state.update(tuple(state))
+        rows["anomalies"] = found
+        yield rows[self.names]
 
     def close(self) -> None:
         pass
 
 
-def checked(activations: DataFrame, model: dict) -> DataFrame:
-    """activations (machine, id, ts, duration), a stream without the clips that were rejected, to machine, id, anomalies."""
-    kinds = {c: activations.schema[c].dataType.simpleString() for c in ("machine", "id")}
-    schema = f"machine {kinds['machine']}, id {kinds['id']}, anomalies array<string>"
-    return activations.select("machine", "id", "ts", "duration").groupBy("machine").transformWithStateInPandas(_Checker(model), schema, "Append", "None")
+def checked(activations: DataFrame, model: dict, keep: Sequence[str] = ()) -> DataFrame:
+    """activations (machine, id, ts, duration), a stream, to machine, id, the columns of `keep` and anomalies; clips that were rejected have a null duration, and get null."""
+    names = ["machine", "id", *keep]
+    schema = T.StructType([*[activations.schema[c] for c in names], T.StructField("anomalies", T.ArrayType(T.StringType()))])
+    given = activations.select(*dict.fromkeys([*names, "ts", "duration"]))
+    return given.groupBy("machine").transformWithStateInPandas(_Checker(model, schema.names), schema, "Append", "None")
 
 
 def rounded(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -206,10 +221,11 @@ def log_to(df: DataFrame, path: str, checkpoint: str):
 
 
 def perf_log_to(results: DataFrame, path: str, checkpoint: str, started: str = "received"):
-    """A stream's timings as a CSV log (timestamp, file_name, total_s): how long after `started`, a timestamp of the row, its batch was handled."""
+    """A stream's timings as a CSV log (timestamp, file_name, total_s), a folder for each batch, which a batch that runs again writes over: how long after `started`, a timestamp of the row, its batch was handled."""
 
     def write(batch: DataFrame, n: int) -> None:
         now = F.current_timestamp()
-        append_log(batch.select(F.date_format(now, "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("file").alias("file_name"), (seconds(now) - seconds(F.col(started))).alias("total_s")), path)
+        timed = batch.select(F.date_format(now, "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("file").alias("file_name"), (seconds(now) - seconds(F.col(started))).alias("total_s"))
+        write_csv(rounded(timed, 3), f"{path}/batch={n}")
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
