@@ -1,24 +1,26 @@
 """Licence scans with a positional rare-token index, with DataFrame functions only.
 
-All words of the templates are posted with their places. Each text is split into words once, and of it
-only the places of template words are kept (`located`). A file's words of high inverse document frequency
-(over all documents; at most COMMON of them have the word, or it is among the RARE rarest of a template)
-are looked up, and each posting gives (template, place where it would begin). Where AGREE of a template's
-rare words meet, its mandatory key phrase is compared word by word at its place, and the share of all the
-template's words that stand where they should is the score. Each file is handled in its own row: nothing
-but the counts of the templates' words is shuffled.
+All words of the templates are posted with their places. Each text is split into words once, and the number of
+the template word at each place, 0 for others, is kept (`located`). A template is looked at in the files that
+have all words of its mandatory key phrase. There, of its words that the file has, the RARE of highest inverse
+document frequency (over all documents) are looked up; each place of one and each posting of it give a place
+where the template would begin, and where AGREE of these postings meet, the key phrase is compared word by word.
+The score is the share of the template's words that stand where they should. Each file is handled in its own
+row: nothing but the counts of the templates' words is shuffled.
 
 Null and empty texts have no words: no labels (an empty string), score 0. Repeated rows and ids are files
-of their own; of several places of a label the best counts; an empty table gives none. A long text costs
-time in proportion to its words.
+of their own; of several places of a label the best counts; an empty table gives none. Other columns aren't
+read. A text's time grows with its words and those of the templates, and no place is compared with all
+others: what is at a place is read from the numbers by index. Its numbers are held in memory, 4 bytes a word.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +32,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases of the base rules and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Rarest words of a template that are looked up however common, share of documents up to which any word is, and the share of them that has to meet.
-RARE, COMMON, AGREE = 4, 0.05, 0.75
+#: Words of a template that are looked up in a file, the rarest that it has, and the share of their postings that has to meet.
+RARE, AGREE = 4, 0.75
 
 
 @dataclass(frozen=True)
@@ -100,87 +102,100 @@ def vocabulary(templates: Sequence[Template] = TEMPLATES) -> list[str]:
 
 
 def located(docs: DataFrame, id_col: str, text_col: str, vocab: Sequence[str]) -> DataFrame:
-    """id, n_words and `hits`: the places of template words, as place * (words of the vocabulary + 1) + number of the word, from 1."""
-    own, base = F.array(*map(F.lit, vocab)), len(vocab) + 1
+    """id and `at`: for each word of the text its number in the vocabulary, from 1, or 0."""
+    own = F.array(*map(F.lit, vocab))
     split = docs.select(F.col(f"`{id_col}`").alias("id"), words(F.col(f"`{text_col}`")).alias("words"))
-    hit = lambda word, i: F.when(word.isin(list(vocab)), F.array_position(own, word) + i.cast("long") * base)
-    return written(split.select("id", F.size("words").cast("long").alias("n_words"), F.array_compact(F.transform("words", hit)).alias("hits")), "located")
+    number = lambda word: F.when(word.isin(list(vocab)), F.array_position(own, word).cast("int")).otherwise(F.lit(0))
+    return written(split.select("id", F.transform("words", number).alias("at")), "located")
 
 
 def document_frequencies(found: DataFrame, vocab: Sequence[str]) -> tuple[int, dict[str, int]]:
     """The number of documents, and for each template word how many have it. Only template words, a fixed number, come to the driver."""
-    own = F.concat(F.array(F.lit(0).cast("long")), F.array_distinct(F.transform("hits", lambda v: v % (len(vocab) + 1))))
-    counts = {int(r[0]): r[1] for r in found.select(F.explode(own).alias("word")).groupBy("word").count().collect()}
+    own = F.array_union(F.array(F.lit(0)), F.array_distinct("at"))
+    counts = {r[0]: r[1] for r in found.select(F.explode(own).alias("word")).groupBy("word").count().collect()}
     return counts.get(0, 0), {w: counts.get(k + 1, 0) for k, w in enumerate(vocab)}
 
 
-def rare_words(n: int, counts: dict[str, int], templates: Sequence[Template] = TEMPLATES, rare: int = RARE, common: float = COMMON) -> set[str]:
-    """Words of high inverse document frequency, and the `rare` rarest of each template."""
-    out = {w for w, k in counts.items() if k <= common * n}
-    for t in templates:
-        out |= set(sorted(set(t.words), key=lambda w: (counts.get(w, 0), w))[:rare])
-    return out
+def by_rarity(counts: dict[str, int], template: Template) -> list[str]:
+    """A template's words, those of highest inverse document frequency first; of equals the first by name."""
+    return sorted(set(template.words), key=lambda w: (counts.get(w, 0), w))
 
 
-def _fixed(values: list) -> Column:
+def needed(postings: int, agree: float) -> int:
+    """How many of a number of postings have to meet."""
+    return max(1, math.ceil(round(postings * agree, 6)))
+
+
+def _fixed(values: list, kind: str) -> Column:
     """Numbers, or lists of numbers, as one constant."""
-    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>" if values and isinstance(values[0], list) else "array<bigint>")
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES, rare: int = RARE, common: float = COMMON, agree: float = AGREE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES, rare: int = RARE, agree: float = AGREE) -> DataFrame:
     """Per row of docs: its id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocab = vocabulary(templates)
     number, base = {w: k + 1 for k, w in enumerate(vocab)}, len(vocab) + 1
     found = located(docs, id_col, text_col, vocab)
-    n, counts = document_frequencies(found, vocab)
-    chosen = rare_words(n, counts, templates, rare, common)
-    hits, place = F.col("hits"), lambda v: F.floor(v / base).cast("long")
+    _, counts = document_frequencies(found, vocab)
+    at = F.col("at")
 
-    # where the words of a phrase stand consecutively
-    def begins(word: str, k: int) -> Column:
-        return F.transform(F.filter(hits, lambda v: v % base == number[word]), lambda v: place(v) - k)
+    # place * base + number of each template word, in order
+    hit = F.array_compact(F.transform("at", lambda v, i: F.when(v > 0, i.cast("long") * base + v)))
+    seen = found.select("id", "at", F.size("at").cast("long").alias("n_words"), F.array_distinct("at").alias("own"), hit.alias("hits"))
+
+    def stand(phrase: list[int], begin: Column) -> Column:
+        """Whether the numbers stand from a place on."""
+        return functools.reduce(lambda a, b: a & b, [F.get(at, begin.cast("int") + k) == v for k, v in enumerate(phrase)])
 
     def starts(phrase: str) -> Column:
-        first, *others = [begins(word, k) for k, word in enumerate(phrase.split())]
-        return functools.reduce(F.array_intersect, others, first)
+        first, *more = [number[w] for w in phrase.split()]
+        places = F.transform(F.filter("hits", lambda v: v % base == first), lambda v: F.floor(v / base).cast("long"))
+        return F.filter(places, lambda p: F.coalesce(stand(more, p + 1), F.lit(False)))
 
-    based = found.select("id", "n_words", "hits", *[starts(p).alias(f"_p{j}") for j, (p, _) in enumerate(PHRASES)])
-    all_starts = F.concat(*[f"_p{j}" for j in range(len(PHRASES))])
+    based = seen.select("*", *[starts(p).alias(f"_p{j}") for j, (p, _) in enumerate(PHRASES)])
     base_labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_p{j}") > 0, F.lit(label)) for j, (_, label) in enumerate(PHRASES)]))))
-    based = based.select("id", "n_words", "hits", all_starts.alias("_starts"), base_labels.alias("_base"))
-
-    # postings: for each chosen word (template, place), as numbers; a template that begins at o is template * reach + shift + o
-    reach, shift = 1 << 40, 1 << 20
-    posted = {number[w]: [t * reach + shift - i for t, x in enumerate(templates) for i, own in enumerate(x.words) if own == w] for w in sorted(chosen)}
-    lists = _fixed([posted.get(k, []) for k in range(base)])
-    looked_up = F.filter(hits, lambda v: (v % base).isin(sorted(posted)))
-    votes = F.array_sort(F.flatten(F.transform(looked_up, lambda v: F.transform(F.get(lists, (v % base).cast("int")), lambda p: p + place(v)))))
-    needed = _fixed([max(1, -(-int(sum(w in chosen for w in t.words) * agree * 100) // 100)) for t in templates])
-    met = F.col("_met")
-    need = lambda x: F.get(needed, F.floor(x / reach).cast("int"))
-    run = lambda x, i: ((i == 0) | (F.get(met, i - 1) != x)) & F.coalesce(F.get(met, (i + need(x) - 1).cast("int")) == x, F.lit(False))
-    agreeing = based.withColumn("_met", votes).withColumn("_met", F.filter(met, run))
-
-    numbers = _fixed([[i * base + number[w] for i, w in enumerate(t.words)] for t in templates])
-    keys = []
-    for t in templates:
-        key = t.key_phrase.split()
-        at = next(i for i in range(len(t.words)) if t.words[i : i + len(key)] == key)
-        keys.append([(at + i) * base + number[w] for i, w in enumerate(key)])
-    keys = _fixed(keys)
+    based = based.select("id", "at", "n_words", "own", "hits", F.concat(*[f"_p{j}" for j in range(len(PHRASES))]).alias("_starts"), base_labels.alias("_base"))
+
+    # of each template: its postings (place * base + number), its words by rarity, and its key phrase's postings
+    lists, number_lists = "array<array<bigint>>", "array<array<int>>"
+    posted = _fixed([[i * base + number[w] for i, w in enumerate(t.words)] for t in templates], lists)
+    ranked = _fixed([[number[w] for w in by_rarity(counts, t)] for t in templates], number_lists)
+    keys, phrases = [], [t.key_phrase.split() for t in templates]
+    for t, key in zip(templates, phrases, strict=True):
+        first = next(i for i in range(len(t.words)) if t.words[i : i + len(key)] == key)
+        keys.append([(first + i) * base + number[w] for i, w in enumerate(key)])
+    key_words, keys = _fixed([[number[w] for w in key] for key in phrases], number_lists), _fixed(keys, lists)
+    needs = _fixed([needed(k, agree) for k in range(1 + max(len(t.words) for t in templates))], "array<int>")
     labels = F.array(*[F.lit(t.label) for t in templates])
 
-    def standing(own: Column, begin: Column) -> Column:
-        """The share of the words `own` that stand where they should."""
-        return F.size(F.array_intersect(hits, F.transform(own, lambda v: v + begin * base))) / F.size(own)
+    def meets(t: Column) -> Column:
+        """Where a template may begin: the differences of places and postings of its rarest words here that come up often enough, each once."""
+        looked_up = F.slice(F.filter(F.get(ranked, t), lambda w: F.array_contains("own", w)), 1, rare)
+
+        def begins(postings: Column) -> Column:
+            each = lambda q: F.transform(F.filter("hits", lambda v: v % base == q % base), lambda v: F.floor(v / base).cast("long") - F.floor(q / base).cast("long"))
+            need = F.get(needs, F.size(postings))
+            often = lambda votes: F.filter(votes, lambda x, i: ((i == 0) | (F.get(votes, i - 1) != x)) & F.coalesce(F.get(votes, i + need - 1) == x, F.lit(False)))
+            return _let(F.array_sort(F.flatten(F.transform(postings, each))), often)
+
+        return _let(looked_up, lambda own: _let(F.filter(F.get(posted, t), lambda q: F.array_contains(own, (q % base).cast("int"))), begins))
+
+    def standing(postings: Column, begin: Column) -> Column:
+        """How many of the postings stand in a template that begins at a place."""
+        return F.aggregate(postings, F.lit(0), lambda n, q: n + F.coalesce((F.get(at, (begin + F.floor(q / base)).cast("int")) == q % base).cast("int"), F.lit(0)))
 
-    def verified(x: Column) -> Column:
-        t, begin = F.floor(x / reach).cast("int"), x % reach - shift
-        whole = standing(F.get(keys, t), begin) == 1
-        return F.when(whole, F.struct(F.get(labels, t).alias("label"), standing(F.get(numbers, t), begin).alias("score")))
+    def matched(t: Column) -> Column:
+        own, key = F.get(posted, t), F.get(keys, t)
+        whole = F.filter(meets(t), lambda b: standing(key, b) == F.size(key))
+        return F.transform(whole, lambda b: F.struct(F.get(labels, t).alias("label"), (standing(own, b) / F.size(own)).alias("score")))
 
-    more = F.when(F.size("_met") > 0, F.array_compact(F.transform("_met", verified))).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
-    checked = agreeing.select("id", "n_words", "_starts", "_base", more.alias("_more"))
+    able = F.filter(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda t: F.forall(F.get(key_words, t), lambda w: F.array_contains("own", w)))
+    checked = based.select("id", "n_words", "_starts", "_base", F.flatten(F.transform(able, matched)).alias("_more"))
     score = F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.col("_more.score")), F.lit(0.0)))
     return checked.select(
         F.col("id").alias(id_col), "n_words", F.size("_starts").cast("long").alias("n_base"), F.array_min("_starts").alias("first_word"), F.array_max("_starts").alias("last_word"),

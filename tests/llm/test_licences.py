@@ -1,8 +1,10 @@
+import math
 import re
+import time
 
 from tests.llm.texts import TEXTS, docs
 
-from pulsegrid.llm.licences import AGREE, COMMON, RARE, TEMPLATES, Template, rare_words, scan, vocabulary
+from pulsegrid.llm.licences import AGREE, RARE, TEMPLATES, Template, by_rarity, needed, scan, vocabulary
 
 MORE = [
     (30, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (31, "mit license apache license general public license " * 300), (32, "Licensed under CC BY-NC 4.0."), (33, "Licensed under cc by something nc 4 0"),
@@ -34,19 +36,18 @@ def matched(texts):
     """Labels and score of each text, by laying every template on every place."""
     sets = [set(split(t)) for _, t in texts]
     counts = {w: sum(w in own for own in sets) for w in vocabulary()}
-    chosen = {w for w, k in counts.items() if k <= COMMON * len(texts)}
-    for t in TEMPLATES:
-        chosen |= set(sorted(set(t.words), key=lambda w: (counts[w], w))[:RARE])
     for i, text in texts:
         w, (_, n_base, _, _, base) = split(text), brute(text)
         labels, best = set(filter(None, base.split(","))), 1.0 if n_base else 0.0
         have = set(w)
         for t in TEMPLATES:
-            key, rare = t.key_phrase.split(), [j for j, x in enumerate(t.words) if x in chosen]
+            key = t.key_phrase.split()
+            chosen = sorted(have & set(t.words), key=lambda x: (counts[x], x))[:RARE]
+            rare = [j for j, x in enumerate(t.words) if x in chosen]
             at = next(j for j in range(len(t.words)) if t.words[j : j + len(key)] == key)
             for begin in range(-len(t.words), len(w)) if set(key) <= have else ():
                 stands = lambda j, x: 0 <= begin + j < len(w) and w[begin + j] == x  # noqa: B023, E731
-                if sum(stands(j, t.words[j]) for j in rare) >= AGREE * len(rare) and all(stands(at + j, x) for j, x in enumerate(key)):
+                if sum(stands(j, t.words[j]) for j in rare) >= max(1, math.ceil(AGREE * len(rare))) and all(stands(at + j, x) for j, x in enumerate(key)):
                     labels.add(t.label)
                     best = max(best, sum(stands(j, x) for j, x in enumerate(t.words)) / len(t.words))
         yield i, ",".join(sorted(labels)), round(best, 6)
@@ -70,13 +71,27 @@ def test_base_equals_brute_force_and_the_method_adds_labels(spark):
 
 
 def test_words_that_are_looked_up():
-    counts = {w: 5 for t in TEMPLATES for w in t.words} | {"mit": 1, "released": 2, "under": 900, "the": 1000, "license": 800}
-    chosen = rare_words(1000, counts)
-    assert {"released", "mit", "license", "under"} <= chosen and "the" not in chosen  # four of the template's five words, however common
-    assert rare_words(1000, {"a": 51, "b": 50, "c": 60}, [Template("x", "a b c", "a")], rare=1) == {"b"}
+    counts = {"mit": 1, "released": 2, "under": 900, "the": 1000, "license": 800}
+    assert by_rarity(counts, Template("mit", "released under the mit license", "mit license")) == ["mit", "released", "license", "under", "the"]
+    assert by_rarity({"b": 3, "a": 3}, Template("x", "b a c b", "a")) == ["c", "a", "b"]
+    assert [needed(k, 0.75) for k in (0, 1, 2, 3, 4, 5)] == [1, 1, 2, 3, 3, 4]
     assert all(t.key_phrase in " ".join(t.words) for t in TEMPLATES)
 
 
+def test_a_long_text_takes_time_in_proportion(spark):
+    def took(n):
+        rows = [(1, "released under the mit license " * n), (2, TEMPLATES[1].text * (n // 80))]
+        began = time.perf_counter()
+        got = {r.doc_id: r for r in scan(docs(spark, rows, 1)).collect()}
+        assert got[1].n_base == n and got[1].last_word == 5 * n - 2 and got[1].score == 1
+        assert got[2].labels == "apache" and got[2].n_words == (n // 80) * len(TEMPLATES[1].words)
+        return time.perf_counter() - began
+
+    took(400)
+    short, long = took(4000), took(32_000)  # 1 MB
+    assert long < 16 * max(short, 2)
+
+
 def test_empty_table_and_no_python(spark):
     out = scan(docs(spark, []))
     assert out.collect() == []
