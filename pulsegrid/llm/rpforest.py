@@ -205,11 +205,11 @@ class NearVectors:
         forest, done, counted = self.forest, None, None
         trees = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1)))
         start = self.vectors.select("key", "size", "vector", trees.alias("tree")).withColumn("node", F.xxhash64("tree", "size")).withColumn("level", F.lit(0))
-        open_, standing = start, start
+        standing = start
         counts = written(start.groupBy("node", "tree", "level", "size").agg(F.count(F.lit(1)).alias("count")), "vectors-nodes")
         while True:
             large, total = counts.where(F.col("count") > forest.leaf), counts.agg(F.sum("count")).first()[0] or 0
-            models = written(self._cuts(open_, large, total), "vectors-cuts")
+            models = written(self._cuts(standing, large, total), "vectors-cuts")
             split = models.where("split").select("node")
             ends = counts.join(split, "node", "left_anti")
             # leaves of this round: what is small enough, and what no cut parts
@@ -218,15 +218,19 @@ class NearVectors:
             counted = ends if counted is None else counted.unionByName(ends)
             if models.where("split").isEmpty():
                 return written(done, "vectors-placed"), written(counted.select("node", "count"), "vectors-leaves")
-            moved = written(self._sent(open_, models.where("split"), total), "vectors-open")
-            standing, open_ = moved, moved.join(self.vectors.select("key", "vector"), "key")
-            counts = written(moved.groupBy("node", "tree", "level", "size").agg(F.count(F.lit(1)).alias("count")), "vectors-nodes")
+            standing = written(self._sent(standing, models.where("split"), total), "vectors-open")
+            counts = written(standing.groupBy("node", "tree", "level", "size").agg(F.count(F.lit(1)).alias("count")), "vectors-nodes")
+
+    def _with_vectors(self, rows: DataFrame) -> DataFrame:
+        """rows (key and others) with their vectors, which the first round's rows still have."""
+        return rows if "vector" in rows.columns else rows.join(self.vectors.select("key", "vector"), "key")
 
     def _cuts(self, rows: DataFrame, large: DataFrame, total: int) -> DataFrame:
         """node, tree, level, size, count, cuts of each large node, and whether it is cut at all."""
         forest = self.forest
         chosen = F.pmod(F.xxhash64("key", "node", F.lit(forest.seed)), F.lit(1 << 40)) * F.col("count").cast("double") < F.lit(float(SAMPLE << 40))
-        sample = join_groups(rows.select("key", "vector", "node"), large, "node", "count", total).where(chosen)
+        slim = rows.drop("tree", "level", "size")
+        sample = self._with_vectors(join_groups(slim, large, "node", "count", total).where(chosen))
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:
             first = group.iloc[0]
@@ -272,13 +276,14 @@ class NearVectors:
                     if part.num_rows:
                         yield send(part.column(0).to_numpy(), matrix(part.column(3), part.column(2)[0].as_py()), model["node"], model["tree"], model["level"], np.array(model["cuts"], np.float64))
 
-        slim = rows.select("key", "node", "size", "vector")
-        out = slim.where(F.col("node").isin(list(table))).mapInArrow(by_table, kind) if table else None
+        place = ["key", "node", "size", "vector"]
+        slim = rows.drop("tree", "level")
+        out = self._with_vectors(slim.where(F.col("node").isin(list(table)))).select(*place).mapInArrow(by_table, kind) if table else None
         # a node is cut if it has a row among the models; other rows find none and are left out
         cold = models.where(F.col("count") <= total * HOT)
         if not cold.isEmpty():
-            theirs = slim.join(cold.select("node"), "node", "left_semi").select("key", "node", "size", "vector", F.lit(None).cast("int").alias("tree"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<double>").alias("cuts"))
-            heads = cold.select(F.lit(None).cast("long").alias("key"), "node", "size", F.array().cast(rows.schema["vector"].dataType).alias("vector"), "tree", "level", "cuts")
+            theirs = self._with_vectors(slim.join(cold.select("node"), "node", "left_semi")).select(*place, F.lit(None).cast("int").alias("tree"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<double>").alias("cuts"))
+            heads = cold.select(F.lit(None).cast("long").alias("key"), "node", "size", F.array().cast(self.vectors.schema["vector"].dataType).alias("vector"), "tree", "level", "cuts")
             met = theirs.unionByName(heads).repartition("node").sortWithinPartitions("node", F.col("key").asc_nulls_first()).mapInArrow(by_order, kind)
             out = met if out is None else out.union(met)
         return out
