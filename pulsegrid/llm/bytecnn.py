@@ -5,7 +5,7 @@ each a table of weights by place and byte, are applied everywhere in a window; t
 rectified, go to a softmax. A text's probabilities are its windows' mean, weighted by their bytes.
 
 Null and empty texts and those without a letter are `und` with score 0. Of languages of equal probability the
-first by name is taken. Rows are told each for itself, repeated ones and ids too; an empty table gives none,
+first by name is taken. Texts of an id and language that is repeated are one when a model is fitted. Rows are told each for itself, repeated ones and ids too; an empty table gives none,
 and one without languages a model that says `und`. Long texts are read whole, window by window.
 """
 
@@ -16,16 +16,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import held_out, text_buffer, written
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
-#: Rows of each language that a model is fitted on at most (a documented bound), and the characters taken from a seeded place of each.
-FIT_ROWS, FIT_CHARS = 400, 1024
-#: Languages that a model tells apart, at most: those of most rows, of equals the first by name.
-LANGUAGES = 1000
+#: Texts of each language that a model is fitted on at most, and of all languages together as long as there are no more languages than
+#: that (documented bounds), and the characters taken from a seeded place of each.
+FIT_ROWS, FIT_TOTAL, FIT_CHARS = 400, 40_000, 1024
 
 
 def has_letter(text: str | None) -> bool:
@@ -118,17 +117,30 @@ def fit(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int =
     return model
 
 
-def train(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 3) -> Model:
-    """Fits on at most about `fit_rows` rows of each of LANGUAGES languages, chosen by a hash of the id, outside the held-out fold.
+def fit_texts(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_total: int = FIT_TOTAL, seed: int = 3) -> DataFrame:
+    """doc_id, lang and FIT_CHARS characters of the texts that a model is fitted on: of each language the same number of ids, those of the least hashes, outside the held-out fold.
 
-    Some windows are cut short, so that short texts are known too. No labelled text: a model without languages.
+    Of several rows of an id and language one text is taken, the first in order. Every language has one text at least, however many there are.
     """
-    able = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = F.broadcast(written(share.select("lang", (F.lit(float(fit_rows)) / F.col("count")).alias("share")), "languages"))
+    able = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 50))
+    counts = written(able.select("lang", "doc_id").distinct().groupBy("lang").count(), "languages")
+    wanted = min(fit_rows, max(fit_total // max(counts.count(), 1), 1))
+    # some more are chosen by their hash alone, then ordered, so each language's order is that of a bounded number of rows
+    share = counts.select("lang", (F.lit(2.0 * wanted + 20) / F.col("count")).alias("share"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.char_length("text") - FIT_CHARS + 1, F.lit(1))).cast("int") + 1
-    rows = able.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 50)) < F.col("share") * (1 << 50))
-    got = sorted(rows.select("doc_id", "lang", F.substr("text", start, F.lit(FIT_CHARS)).alias("text")).where("text is not null").collect())
+    some = able.join(share, "lang").where(draw < F.col("share") * (1 << 50)).select("doc_id", "lang", F.substr("text", start, F.lit(FIT_CHARS)).alias("text"))
+    some = some.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id"))
+    return some.withColumn("_place", place).where(F.col("_place") <= wanted).select("doc_id", "lang", "text")
+
+
+def train(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 3, fit_total: int = FIT_TOTAL) -> Model:
+    """Fits on `fit_texts`. All languages are told apart: a model has a column of weights for each.
+
+    Some windows are cut short, so that short texts are known too. No labelled text: a model without languages.
+    """
+    got = sorted(fit_texts(docs, fit_rows, fit_total, seed).collect())
     got = [r for r in got if has_letter(r[2])]
     langs = sorted({r[1] for r in got})
     if not langs:

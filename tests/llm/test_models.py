@@ -136,3 +136,14 @@ def test_mil_score_by_hand():
         z = sum(p * v for p, v in zip(a, h, strict=True))
         assert abs(score - 1 / (1 + np.exp(-(z @ w["cls"] + w["cls0"][0])))) < 1e-6
         at += n
+
+
+def test_texts_that_a_cnn_is_fitted_on(spark):
+    rows = [(9, f"the same id {k}", "en") for k in range(20_000)] + [(k, f"d'autres mots {k}", "fr") for k in range(100, 3100)] + [(10_000 + k, f"text {k}", f"l{k // 40}") for k in range(3000)] + [(5, "123", "de"), (6, None, "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = bytecnn.fit_texts(table, 50, 400).collect()
+    by = Counter(r.lang for r in got)
+    assert by["en"] == 1 and len(by) == 77 and set(by.values()) <= {1, 5} and "de" not in by  # 400 // 77
+    assert sorted(map(tuple, bytecnn.fit_texts(table.repartition(2), 50, 400).collect())) == sorted(map(tuple, got))
+    # more languages than texts that fit: one of each
+    assert Counter(Counter(r.lang for r in bytecnn.fit_texts(table, 50, 30).collect()).values()) == {1: 77}
