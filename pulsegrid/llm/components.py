@@ -11,28 +11,36 @@ from pulsegrid.llm.common import delete, join_groups, noted, written
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) to `key, label`: every end of a link with the least key that it is connected with.
 
-    Each round a key takes the least label among its neighbours', then its label's label, until none
-    changes; the number of rounds follows the logarithm of the longest path. A hub's label is looked up by
-    each of its links, and a large component's by each of its keys: those of hot keys (of which there are
-    few) are broadcast, so no task gets all of a hub's links. Each round is written, so a lost executor
-    loses no round, and the one before is deleted.
+    Each round a node goes to the one among itself and its neighbours that comes first by a hash, then to where
+    that one went; links between the places reached are the next round's graph. Hashes differ by round, so on
+    any graph, a long path or a hub too, links fall by a constant factor on average, and all rounds together
+    take a multiple of the links. Places of hot nodes (of which there are few) are broadcast, so no task gets
+    all of a hub's links. Each round is written, so a lost executor loses no round.
     """
-    spark, links = links.sparkSession, links.select("a", "b").where("a <> b")
+    spark, graph = links.sparkSession, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     with noted() as paths:
-        both = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("b", "key"), "links")
-        labels = written(both.groupBy(F.col("a").alias("own")).agg(F.least(F.min("key"), F.col("own")).alias("label"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("own", "key"), "labels")
-        total, n, n_links = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count(F.lit(1)), F.sum("degree")).first()
-        while total is not None:
-            near = join_groups(both, labels, "key", "degree", n_links).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-            step = written(labels.join(near, "key").select("key", "degree", F.least("label", "near").alias("next")), "labels")
-            taken = step.groupBy("next").agg(F.count(F.lit(1)).alias("taken"))
-            jump = written(labels.select(F.col("key").alias("next"), F.col("label").alias("further")).join(taken, "next"), "labels")
-            labels = written(join_groups(step, jump, "next", "taken", n).select("key", F.least("next", "further").alias("label"), "degree"), "labels")
-            for path in paths[-4:-1]:
-                delete(spark, path)
-            del paths[-4:-1]
-            if (now := labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]) == total:
-                break
-            total = now
-        delete(spark, paths[0])
-    return labels.select("key", "label")
+        graph, rounds = written(graph, "links"), []
+        while not graph.isEmpty():
+            seed = F.lit(len(rounds))
+            ends = graph.union(graph.select("b", "a"))
+            first = lambda c: F.struct(F.xxhash64(c, seed).alias("hash"), F.col(c).alias("node"))  # noqa: B023, E731
+            near = ends.groupBy(F.col("a").alias("node")).agg(F.min(first("b")).alias("least"), F.count(F.lit(1)).alias("degree"))
+            near = written(near.select("node", F.least("least", first("node"))["node"].alias("place"), "degree"), "labels")
+            n, n_ends = near.agg(F.count(F.lit(1)), F.sum("degree")).first()
+            taken = near.groupBy("place").agg(F.count(F.lit(1)).alias("taken"))
+            jump = written(near.select(F.col("node").alias("place"), F.col("place").alias("further")).join(taken, "place"), "labels")
+            moved = written(join_groups(near, jump, "place", "taken", n).select("node", F.col("further").alias("place"), "degree"), "labels")
+            rounds.append((moved, n))
+            for old in ("a", "b"):
+                graph = join_groups(graph.withColumnRenamed(old, "node"), moved, "node", "degree", n_ends).drop("node", "degree").withColumnRenamed("place", old)
+            graph = written(graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+        labels = spark.createDataFrame([], "node long, label long")
+        for moved, n in reversed(rounds):
+            taken = moved.groupBy("place").agg(F.count(F.lit(1)).alias("taken"))
+            further = taken.join(labels.withColumnRenamed("node", "place"), "place", "left").select("place", "taken", F.coalesce("label", "place").alias("label"))
+            labels = written(join_groups(moved, further, "place", "taken", n).select("node", "label"), "labels")
+        named = written(labels.groupBy("label").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("taken")), "labels")
+        out = written(join_groups(labels, named, "label", "taken", rounds[0][1] if rounds else 0).select(F.col("node").alias("key"), F.col("least").alias("label")), "components")
+        for path in paths[:-1]:
+            delete(spark, path)
+    return out

@@ -127,3 +127,15 @@ def test_components_of_a_hub_and_of_a_long_path(spark, monkeypatch):
     got = components(hub.union(path)).groupBy("label").count().collect()
     assert sorted((r.label, r["count"]) for r in got) == [(10, 100_001), (8_000_000, 301)]
     assert components(hub.where("false")).collect() == []
+
+
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(9)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 500, (330, 2))] + [(-5, -5), (3, 3), (1, 2), (2, 1)]
+    label = {k: k for pair in links for k in pair if pair[0] != pair[1]}
+    for _ in label:
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == label and len(set(got.values())) > 20
