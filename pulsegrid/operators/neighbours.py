@@ -1,14 +1,17 @@
-"""Nearest rows and local outlier factors against all reference rows, as joins of blocks.
+"""Nearest rows and local outlier factors against all reference rows, as joins of boxes.
 
-Reference rows are dealt to slabs, ranges of the feature that varies most, and large slabs to parts.
-A row is compared with its own part first. How far its k-th neighbour is there tells which other slabs
-can hold a nearer one, as rows are never nearer than they are along one feature; only those are asked.
+Reference rows are dealt to boxes by a k-d partition: a node is cut at the median of the feature that varies
+most in it, found from a bounded sample, and a box that still holds more than PART rows has several parts. A row
+is compared with its own part first. How far its k-th neighbour is there tells which boxes can hold a nearer
+one; they are found from the root of the partition down, as no row of a node is nearer than the smallest box
+around its rows. Only those are asked, so rows of several independent features meet few boxes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulsegrid.functions.quantiles import RANGE_ROWS, range_of
+from pulsegrid.functions.quantiles import RANGE_ROWS
 
 #: Reference rows of a part, about, and rows that are compared with a part at once.
 PART, TILE = RANGE_ROWS, 32
 MOST_TASKS = 4096
-CELL = ["slab", "part", "lane"]
+#: Boxes at most, a table of which (two numbers for each feature) goes through the driver, and sampled rows for each that cuts are found from.
+MOST_BOXES, PER_BOX = 1 << 14, 16
+CELL = ["box", "part", "lane"]
+
+
+@dataclass(frozen=True)
+class Boxes:
+    """Nodes by number as in a heap: 1 is the root, 2 k and 2 k + 1 are below k. feature: which one is cut (-1: a box), at `cut`."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, boxes: int) -> Boxes:
+        depth = max(0, math.ceil(math.log2(max(boxes, 1))))
+        feature, cut = np.full(2 << depth, -1), np.zeros(2 << depth)
+        todo = [(1, np.arange(len(rows)))]
+        while todo:
+            node, own = todo.pop()
+            if node >= 1 << depth or len(own) < 2:
+                continue
+            x = rows[own]
+            f = int(x.var(axis=0).argmax())
+            at = np.partition(x[:, f], (len(own) - 1) // 2)[(len(own) - 1) // 2]
+            right = x[:, f] > at
+            if not right.any():  # the larger half is equal: what is below it is cut off, if anything
+                below = x[:, f][x[:, f] < at]
+                if not len(below):
+                    continue
+                at = below.max()
+                right = x[:, f] > at
+            feature[node], cut[node] = f, at
+            todo += [(2 * node, own[~right]), (2 * node + 1, own[right])]
+        return cls(feature, cut)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The box of each row."""
+        node = np.ones(len(x), np.int64)
+        while (live := np.flatnonzero(self.feature[node] >= 0)).size:
+            at = node[live]
+            node[live] = 2 * at + (x[live, self.feature[at]] > self.cut[at])
+        return node
+
+
+@dataclass(frozen=True)
+class Reach:
+    """The smallest boxes around the reference rows of all nodes (lo above hi: it has none), and the parts of the boxes."""
+
+    boxes: Boxes
+    lo: np.ndarray
+    hi: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, boxes: Boxes, p: int, rows: dict[int, tuple[np.ndarray, np.ndarray, int]]) -> Reach:
+        """rows: of each box with reference rows its lowest and highest values and its parts."""
+        n = len(boxes.feature)
+        lo, hi, parts = np.full((n, p), np.inf), np.full((n, p), -np.inf), np.zeros(n, np.int64)
+        for node, (low, high, count) in rows.items():
+            lo[node], hi[node], parts[node] = low, high, count
+        for node in range(n // 2 - 1, 0, -1):
+            if boxes.feature[node] >= 0:
+                lo[node], hi[node] = np.minimum(lo[2 * node], lo[2 * node + 1]), np.maximum(hi[2 * node], hi[2 * node + 1])
+        return cls(boxes, lo, hi, parts)
+
+    def within(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and boxes that hold a reference row which may be nearer than the row's bound."""
+        row, node = np.arange(len(x)), np.ones(len(x), np.int64)
+        rows, found = [], []
+        while len(row):
+            gap = np.maximum(np.maximum(self.lo[node] - x[row], x[row] - self.hi[node]), 0)
+            near = np.sqrt((gap * gap).sum(axis=1)) < bounds[row] * (1 + 1e-12)
+            row, node = row[near], node[near]
+            ends = self.boxes.feature[node] < 0
+            rows.append(row[ends])
+            found.append(node[ends])
+            row, node = np.repeat(row[~ends], 2), (2 * node[~ends][:, None] + np.arange(2)).reshape(-1)
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def least_of(x: np.ndarray, rows: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +131,7 @@ def least_of(x: np.ndarray, rows: np.ndarray, k: int, bounds: np.ndarray) -> tup
 
 
 def _answered(told: DataFrame, asks: DataFrame, k: int, tasks: int) -> DataFrame:
-    """asks with `far` and `near`: of those rows of told that are in their cell. Rows of slab -1 stay as they are."""
+    """asks with `far` and `near`: of those rows of told that are in their cell. Rows of box -1 stay as they are."""
     kind = asks.schema
     rows = told.select(*[F.col(c) if c in told.columns else F.lit(None).cast(kind[c].dataType).alias(c) for c in asks.columns], F.lit(False).alias("asking"))
     both = rows.unionByName(asks.withColumn("asking", F.lit(True)))
@@ -90,44 +170,81 @@ def _answered(told: DataFrame, asks: DataFrame, k: int, tasks: int) -> DataFrame
     return both.mapInArrow(run, kind)
 
 
+def _matrix(column: pa.Array, p: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+
+
+def _fitted(rows: DataFrame, p: int, n: int) -> Boxes:
+    """The partition of n reference rows (key, x), from about PER_BOX sampled rows for each of its boxes."""
+    boxes = min(MOST_BOXES, -(-n // PART))
+    if boxes < 2:
+        return Boxes.of(np.zeros((0, p)), 1)
+    draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 40)).cast("double") * n
+    sample = rows.where(draw < float(PER_BOX * boxes << 40)).select("x").toArrow()["x"].combine_chunks()
+    sample = _matrix(sample, p)
+    return Boxes.of(sample[np.lexsort(sample.T)], boxes)
+
+
 def nearest(df: DataFrame, features: Sequence[str], key: str, reference: Column, k: int) -> DataFrame:
     """key, reference and `near`, an array of (far, key): each row's k nearest reference rows, itself included, in order.
 
     `key` tells rows apart. Rows that lack a feature are left out. Of equally far rows, those of a row's own
     part come first, then those with the least key; no row is asked about what can't be nearer, so many equal
-    rows are not compared with each other. Slabs are 256 at most; a table of them goes through the driver.
+    rows are not compared with each other.
     """
+    spark, p = df.sparkSession, len(features)
     x = F.array(*[F.col(f).cast("double") for f in features])
     known = df.select(F.col(key).alias("key"), F.coalesce(reference, F.lit(False)).alias("reference"), x.alias("x"))
     known = known.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-    spread = known.where("reference").agg(*[F.var_pop(F.get("x", F.lit(i))) for i in range(len(features))]).first()
-    along = known.withColumn("at", F.get("x", F.lit(max(range(len(features)), key=lambda i: spread[i] or 0.0))))
-    slab = range_of(along.where("reference"), "at")
     own = F.col("reference")
-    tally = along.groupBy(slab.alias("slab")).agg(F.min(F.when(own, F.col("at"))).alias("lo"), F.max(F.when(own, F.col("at"))).alias("hi"), F.count_if(own).alias("told"), F.count(F.lit(1)).alias("n"))
-    slabs = {r["slab"]: r for r in tally.collect()}
-    parts = {s: max(1, math.ceil(r["told"] / PART)) for s, r in slabs.items()}
-    # of a slab with few reference rows and many others, each part is copied to several lanes
-    lanes = {s: max(1, math.ceil(r["n"] / parts[s] / (4 * PART))) for s, r in slabs.items()}
-    tasks = min(sum(parts[s] * lanes[s] for s in slabs) or 1, MOST_TASKS)
-    of = lambda table, s: F.get(F.array(*[F.lit(table.get(i, 1)) for i in range(max(table, default=0) + 1)]), s)
-    lane = lambda s: F.pmod(F.xxhash64("key", F.lit(7)), of(lanes, s)).cast("int")
-    placed = along.withColumn("slab", slab).withColumn("part", F.pmod(F.xxhash64("key"), of(parts, F.col("slab"))))
-    told = placed.where("reference").withColumn("lane", F.explode(F.sequence(F.lit(0), of(lanes, F.col("slab")) - 1)))
+    boxes = spark.sparkContext.broadcast(_fitted(known.where(own), p, known.where(own).count()))
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boxes.value.place(_matrix(batch.column(2), p)), pa.int32())], ["key", "reference", "x", "box"])
+
+    along = known.mapInArrow(located, T.StructType([*known.schema.fields, T.StructField("box", T.IntegerType())]))
+    ends = [f(F.when(own, F.get("x", F.lit(i)))).alias(f"{name}{i}") for i in range(p) for name, f in (("lo", F.min), ("hi", F.max))]
+    tally = {r["box"]: r for r in along.groupBy("box").agg(F.count_if(own).alias("told"), F.count(F.lit(1)).alias("n"), *ends).collect()}
+    parts = {b: max(1, math.ceil(r["told"] / PART)) for b, r in tally.items()}
+    # of a box with few reference rows and many others, each part is copied to several lanes
+    lanes = {b: max(1, math.ceil(r["n"] / parts[b] / (4 * PART))) for b, r in tally.items()}
+    tasks = min(sum(parts[b] * lanes[b] for b in tally) or 1, MOST_TASKS)
+    sizes = spark.createDataFrame([(b, parts[b], lanes[b]) for b in tally], "box int, parts long, lanes int")
+    deal = lambda rows: rows.join(F.broadcast(sizes), "box")
+    lane = F.pmod(F.xxhash64("key", F.lit(7)), F.col("lanes")).cast("int")
+    placed = deal(along).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    told = placed.where("reference").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
     lists = [F.lit(None).cast(t).alias(c) for c, t in (("far", T.ArrayType(T.DoubleType())), ("near", T.ArrayType(df.schema[key].dataType)))]
-    asks = placed.select("slab", "part", lane(F.col("slab")).alias("lane"), "key", "reference", "x", "at", F.lit(math.inf).alias("bound"), *lists)
+    asks = placed.select("box", "part", lane.alias("lane"), "key", "reference", "x", F.lit(math.inf).alias("bound"), *lists)
     first = _answered(told, asks, k, tasks)
-    reached = [F.struct(F.lit(s).alias("slab"), F.lit(float(r["lo"])).alias("lo"), F.lit(float(r["hi"])).alias("hi"), F.lit(parts[s]).alias("parts")) for s, r in sorted(slabs.items()) if r["told"]]
-    if sum(parts[s] for s, r in slabs.items() if r["told"]) > 1:
+    with_rows = {b: (np.array([r[f"lo{i}"] for i in range(p)]), np.array([r[f"hi{i}"] for i in range(p)]), parts[b]) for b, r in tally.items() if r["told"]}
+    if sum(parts[b] for b in with_rows) > 1:
+        reach = spark.sparkContext.broadcast(Reach.of(boxes.value, p, with_rows))
+        kind = T.StructType([*first.schema.fields, T.StructField("cells", T.ArrayType(T.StructType.fromDDL("box int, part long")))])
+        arrow, at = to_arrow_schema(kind), {c: i for i, c in enumerate(first.columns)}
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The parts that a row asks besides its own, and one of box -1, where it stays as it is."""
+            for batch in batches:
+                n = batch.num_rows
+                row, box = reach.value.within(_matrix(batch.column(at["x"]), p), batch.column(at["bound"]).to_numpy())
+                counts = reach.value.parts[box]
+                row, box = np.repeat(row, counts), np.repeat(box, counts)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                other = (box != batch.column(at["box"]).to_numpy()[row]) | (part != batch.column(at["part"]).to_numpy()[row])
+                row, box, part = (np.concatenate([a, b[other]]) for a, b in ((np.arange(n), row), (np.full(n, -1), box), (np.arange(n), part)))
+                order = np.argsort(row, kind="stable")
+                cells = pa.StructArray.from_arrays([pa.array(box[order], pa.int32()), pa.array(part[order], pa.int64())], ["box", "part"])
+                offsets = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells).cast(arrow.field("cells").type)], schema=arrow)
+
         bound = F.when(F.size("far") == k, F.element_at("far", -1)).otherwise(F.lit(math.inf))
-        here = lambda s: F.greatest(s["lo"] - F.col("at"), F.col("at") - s["hi"], F.lit(0.0)) < F.col("bound")
-        cells = F.flatten(F.transform(F.filter(F.array(*reached), here), lambda s: F.transform(F.sequence(F.lit(0), s["parts"] - 1), lambda p: F.struct(s["slab"].alias("slab"), p.cast("long").alias("part")))))
-        others = F.filter(cells, lambda c: (c["slab"] != F.col("slab")) | (c["part"] != F.col("part")))
-        done = F.array(F.struct(F.lit(-1).alias("slab"), F.xxhash64("key").alias("part")))
-        more = first.withColumn("bound", bound).withColumn("cell", F.explode(F.concat(done, others)))
-        kept = lambda c: F.when(F.col("cell.slab") < 0, F.col(c)).alias(c)
-        asks = more.select("cell.slab", "cell.part", F.coalesce(lane(F.col("cell.slab")), F.lit(0)).alias("lane"), "key", "reference", "x", "at", "bound", kept("far"), kept("near"))
-        first = _answered(told, asks, k, tasks)
+        more = first.withColumn("bound", bound).mapInArrow(reached, kind).withColumn("cell", F.explode("cells"))
+        kept = lambda c: F.when(F.col("cell.box") < 0, F.col(c)).alias(c)
+        more = more.select("cell.box", "cell.part", "key", "reference", "x", "bound", kept("far"), kept("near"))
+        more = more.join(F.broadcast(sizes.select("box", "lanes")), "box", "left").withColumn("lane", F.coalesce(lane, F.lit(0)))
+        first = _answered(told, more.select(*asks.columns), k, tasks)
     pairs = F.arrays_zip(F.col("far").alias("far"), F.col("near").alias("key"))
     merged = first.groupBy("key", "reference").agg(F.slice(F.sort_array(F.flatten(F.collect_list(pairs))), 1, k).alias("near"))
     return merged

@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import quantiles
 from pulsegrid.operators import neighbours
 from pulsegrid.operators.detectors import LocalOutlierFactor
 
@@ -14,7 +13,6 @@ FEATURES = ["a", "b", "c"]
 
 @pytest.fixture
 def small_blocks(monkeypatch):
-    monkeypatch.setattr(quantiles, "RANGE_ROWS", 60)
     monkeypatch.setattr(neighbours, "PART", 50)
 
 
@@ -41,6 +39,31 @@ def test_factors_do_not_hang_on_blocks(spark, small_blocks):
     assert np.allclose([got[i] for i in range(400)], want)
 
 
+def test_factors_of_rows_on_a_grid(spark, small_blocks):
+    # many rows are equally far, some are equal: which of them are taken as neighbours hangs on the boxes, factors hardly do
+    x = np.random.default_rng(4).integers(0, 6, (600, 3)).astype(float)
+    got = dict(map(tuple, neighbours.local_outlier_factors(frame(spark, x), FEATURES, "id", F.col("normal")).collect()))
+    want = LocalOutlierFactor.of(x[np.arange(600) % 4 != 0], 20).score(x)
+    assert np.allclose([got[i] for i in range(600)], want, rtol=0.02)
+
+
+def test_boxes_hold_their_rows_and_rule_out_the_others():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 4)), np.repeat(rng.normal(size=(1, 4)), 500, axis=0)])
+    boxes = neighbours.Boxes.of(x[::3], 64)
+    place = boxes.place(x)
+    assert 40 <= len(np.unique(place)) <= 64 and (boxes.feature[place] < 0).all()
+    spans = {b: (x[place == b].min(axis=0), x[place == b].max(axis=0), 1) for b in np.unique(place).tolist()}
+    reach = neighbours.Reach.of(boxes, 4, spans)
+    asked = rng.normal(size=(200, 4)) * 1.5
+    bounds = rng.uniform(0.1, 1.0, 200)
+    row, box = reach.within(asked, bounds)
+    want = {(i, b) for i in range(200) for b, (lo, hi, _) in spans.items() if np.sqrt((np.clip(np.maximum(lo - asked[i], asked[i] - hi), 0, None) ** 2).sum()) < bounds[i]}
+    assert set(zip(row.tolist(), box.tolist(), strict=True)) == want and len(want) < 200 * len(spans) / 3
+    assert sorted(reach.within(x[:1], np.array([np.inf]))[1].tolist()) == sorted(spans)
+    assert neighbours.Boxes.of(np.zeros((0, 2)), 8).place(np.ones((3, 2))).tolist() == [1, 1, 1]
+
+
 def test_missing_features_and_few_rows(spark):
     df = spark.createDataFrame([(1, 0.0, True), (2, None, True), (3, float("nan"), True), (4, 1.0, True), (5, 3.0, None), (6, 0.0, True)], "id long, a double, normal boolean")
     got = {r.key: [o.key for o in r.near] for r in neighbours.nearest(df, ["a"], "id", F.col("normal"), 2).collect()}
