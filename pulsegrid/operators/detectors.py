@@ -1,8 +1,9 @@
 """One-class detectors: higher scores are more anomalous, and a row is flagged above a threshold.
 
 Moments are aggregates over all rows; what comes to the driver is a row of p (p + 3) / 2 numbers.
-Detectors that keep rows (LOF, one-class SVM, isolation forest) are fitted on a sample of a stated
-bound, are broadcast, and score Arrow batches.
+An isolation forest's trees draw their rows from all rows. Other detectors that keep rows (LOF, one-class
+SVM) are fitted on a sample of a stated bound, are broadcast, and score Arrow batches; `neighbours` has
+factors against all rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,7 +141,8 @@ class IsolationForest:
     @classmethod
     def of(cls, rows: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 42) -> IsolationForest:
         take = min(sample, len(rows))
-        return cls([tuple(map(np.array, grown(rows, k, take, seed))) for k in range(trees)], take)
+        drawn = lambda k: rows[np.random.default_rng((seed, k, 1)).choice(len(rows), take, replace=False)]
+        return cls([tuple(map(np.array, grown(drawn(k), k, seed))) for k in range(trees)], take)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         depth = np.zeros(len(x))
@@ -155,10 +158,9 @@ class IsolationForest:
         return 2 ** (-depth / len(self.trees) / max(float(_unsuccessful(self.sample)), 1e-12))
 
 
-def grown(rows: np.ndarray, k: int, take: int, seed: int) -> tuple[list, list, list, list]:
-    """The k-th tree, of `take` of the rows: random cuts of random features that still vary, to a depth of log2(take)."""
-    rng = np.random.default_rng((seed, k))
-    x = rows[rng.choice(len(rows), take, replace=False)]
+def grown(x: np.ndarray, k: int, seed: int) -> tuple[list, list, list, list]:
+    """The k-th tree, of the rows x: random cuts of random features that still vary, to a depth of log2 of their number."""
+    rng, take = np.random.default_rng((seed, k)), len(x)
     feature, cut, left, size = [-1], [0.0], [0], [take]
     todo = [(0, np.arange(take), 0)]
     while todo:
@@ -180,21 +182,48 @@ def grown(rows: np.ndarray, k: int, take: int, seed: int) -> tuple[list, list, l
     return feature, cut, left, size
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42) -> IsolationForest:
-    """Each tree is a task's work on its own draw of the (bounded, broadcast) rows."""
-    spark = df.sparkSession
-    rows = sampled(df, features)
-    shared, take = spark.sparkContext.broadcast(rows), min(sample, len(rows))
+def draws(rows: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """A hash of each row number (64 bits) and tree as 53-bit integers, a row for each row and a column for each tree."""
+    x = rows.astype(np.uint64)[:, None] + np.random.default_rng(seed).integers(0, 1 << 63, trees, dtype=np.uint64)[None, :] * np.uint64(2)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(11)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [grown(shared.value, k, take, seed) for k in batch.column(0).to_pylist()]
-            kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[j] for g in new], pa.list_(t)) for j, t in enumerate(kinds)]], ["tree", "feature", "cut", "left", "size"])
 
-    if not len(rows):
+def fit_forest(df: DataFrame, features: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42) -> IsolationForest:
+    """Each tree draws its rows from all rows: those of the least hashes of their values, their number among equal rows and the tree.
+
+    Hashes below a threshold pass, a few more than are drawn, so a tree's draw is a bounded group, and it is the
+    same however the rows are dealt. Trees grow in tasks of their own; their nodes come to the driver.
+    """
+    p = len(features)
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    copies = df.select(values.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    total = df.count()
+    if not total:
         return IsolationForest([(np.array([-1]), np.zeros(1), np.zeros(1, int), np.zeros(1))], 1)
-    got = spark.range(trees, numPartitions=min(trees, 16)).select(F.col("id").alias("tree")).mapInArrow(run, "tree long, feature array<int>, cut array<double>, left array<int>, size array<int>").collect()
+    take = min(sample, total)
+    limit = int(min(1.0, (take + 8 * math.sqrt(take) + 20) / total) * (1 << 53))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, counts = batch.column(2).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+            starts = np.append(0, np.cumsum(counts))
+            for at in range(0, int(starts[-1]), 4096):
+                nth = np.arange(at, min(at + 4096, int(starts[-1])))
+                row = np.searchsorted(starts, nth, side="right") - 1
+                hashes = draws(base[row] + (nth - starts[row]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), trees, seed)
+                i, tree = np.nonzero(hashes < limit)
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int64()), pa.array(hashes[i, tree].astype(np.int64)), batch.column(0).take(pa.array(row[i]))], ["tree", "hash", "x"])
+
+    def grow(own: pd.DataFrame) -> pd.DataFrame:
+        k, order = int(own["tree"].iloc[0]), own["hash"].argsort(kind="stable").to_numpy()
+        x = np.stack(own["x"].to_numpy()).astype(float).reshape(-1, p)
+        chosen = x[order[:take]]
+        return pd.DataFrame([(k, *map(np.array, grown(chosen[np.lexsort(chosen.T)], k, seed)))], columns=["tree", "feature", "cut", "left", "size"])
+
+    drawn = copies.select("x", "n", F.xxhash64("x", F.lit(seed)).alias("base")).mapInArrow(draw, "tree long, hash long, x array<double>")
+    got = drawn.groupBy("tree").applyInPandas(grow, "tree long, feature array<int>, cut array<double>, left array<int>, size array<int>").collect()
     return IsolationForest([(np.array(r.feature), np.array(r.cut), np.array(r.left), np.array(r.size)) for r in sorted(got)], take)
 
 
@@ -374,21 +403,45 @@ def _loo_one(rows: np.ndarray, i: int, model: str, trees: int = 200) -> float:
         return float(OneClassSvm.of(others).score(own)[0])
     if model == "isoforest":
         return float(IsolationForest.of(others, trees).score(own)[0])
-    if model == "pca":
-        values, vectors = np.linalg.eigh(np.cov(others.T))
-        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-        axes = vectors[:, : int(np.searchsorted(np.cumsum(values) / values.sum(), 0.95)) + 1]
-        d = own[0] - others.mean(axis=0)
-        return float(((d - axes @ (axes.T @ d)) ** 2).sum())
     raise ValueError(f"no leave-one-out for {model}")
 
 
+def _left_out_components(df: DataFrame, features: Sequence[str], keep: float = 0.95) -> DataFrame:
+    """Each row's `score`: its squared distance from the components of the others.
+
+    Their covariance is that of all rows, less a multiple of the row's own products; batches of them are
+    decomposed at once, p * p numbers for each row.
+    """
+    n, mean, cov = moments(df, features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - mean
+            scores = []
+            for at in range(0, len(x), 1024):
+                own = x[at : at + 1024]
+                others = cov * ((n - 1) / (n - 2)) - own[:, :, None] * own[:, None, :] * (n / (n - 1) / (n - 2))
+                values, axes = np.linalg.eigh(others)
+                values, axes = np.maximum(values[:, ::-1], 0), axes[:, :, ::-1]
+                share = np.cumsum(values, axis=1) / np.maximum(values.sum(axis=1, keepdims=True), 1e-300)
+                kept = np.arange(x.shape[1]) <= (share < keep).sum(axis=1, keepdims=True)
+                d = own * (n / (n - 1))
+                along = np.einsum("ij,ijk->ik", d, axes) * kept
+                scores.append(((d - np.einsum("ik,ijk->ij", along, axes)) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["score"])
+
+    if n < 3:
+        return df.select(F.lit(0.0).alias("score"))
+    return df.select(*[F.col(f).cast("double") for f in features]).mapInArrow(run, "score double")
+
+
 def leave_one_out(df: DataFrame, features: Sequence[str], model: str, share: float = LOO_PERCENTILE, trees: int = 200) -> tuple[float, DataFrame]:
     """The threshold at `share` of the left-out scores, and the scores (fold, score).
 
-    Mahalanobis scores are those of all rows, from the moments without the row (a rank-one downdate). ECOD
-    ranks a new row among the known ones and itself, so its left-out scores are those of all rows. Of other
-    detectors every fold is a row of a job over the broadcast (bounded) rows.
+    Mahalanobis and PCA scores are those of all rows, from the moments without the row (a rank-one downdate). ECOD
+    ranks a new row among the known ones and itself, so its left-out scores are those of all rows. Local outlier
+    factors are those of all rows too (see `neighbours.left_out_factors`). Of isolation forests and one-class SVMs
+    every fold is a row of a job over the broadcast (bounded) rows.
     """
     spark = df.sparkSession
     if model == "ecod":
@@ -402,6 +455,14 @@ def leave_one_out(df: DataFrame, features: Sequence[str], model: str, share: flo
             left_out = F.sqrt(F.greatest(own / (1 - own * (n / (n - 1) / (n - 2))), F.lit(0.0))) * (n / (n - 1))
             folds = df.select(F.monotonically_increasing_id().alias("fold"), left_out.alias("score"))
             return exact_quantiles(folds, ["score"], [share])["score"][0], folds
+    if model == "pca":
+        folds = _left_out_components(df, features).select(F.monotonically_increasing_id().alias("fold"), "score")
+        return exact_quantiles(folds, ["score"], [share])["score"][0], folds
+    if model == "lof":
+        from pulsegrid.operators.neighbours import left_out_factors
+
+        folds = left_out_factors(df, features)
+        return exact_quantiles(folds, ["score"], [share])["score"][0], folds
     rows = sampled(df, features)
     shared = spark.sparkContext.broadcast(rows)
 

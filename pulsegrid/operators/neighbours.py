@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsegrid.functions.quantiles import RANGE_ROWS
+from pulsegrid.functions.tables import pinned
 
 #: Reference rows of a part, about, and rows that are compared with a part at once.
 PART, TILE = RANGE_ROWS, 32
@@ -266,3 +267,33 @@ def local_outlier_factors(df: DataFrame, features: Sequence[str], key: str, refe
     density = pairs.join(kdist, "other").groupBy(F.col("key").alias("other")).agg(F.max("far").alias("kdist"), (1 / reach).alias("density"))
     asked = near.select("key", F.explode(F.slice("near", 1, max(k, 1))).alias("o")).select("key", F.col("o.key").alias("other"), "o.far")
     return asked.join(density, "other").groupBy(F.col("key").alias(key)).agg((F.avg("density") * reach).alias(name))
+
+
+def left_out_factors(df: DataFrame, features: Sequence[str], k: int | None = None) -> DataFrame:
+    """fold and score of each row that has all features: its factor against the densities of all others, as if they alone were known.
+
+    One search finds each row's k + 1 nearest others. To leave a row out moves up the k-th neighbour of those that
+    had it among theirs, so only their distances, and the densities that hang on them, are taken anew: a pair of
+    rows meets the neighbours of its second, in joins of n * k rows and lists of (k + 1) * k keys. By default k is
+    20 or the root of the number of rows. Fewer than 3 rows have no factors.
+    """
+    keyed = pinned(df.select(F.monotonically_increasing_id().alias("fold"), *features), "left-out")
+    n = keyed.dropna(subset=list(features)).count()
+    k = min(n - 2, max(20, math.isqrt(max(n - 1, 0))) if k is None else k)
+    if k < 1:
+        return keyed.where("false").select("fold", F.lit(0.0).alias("score"))
+    near = nearest(keyed, features, "fold", F.lit(True), k + 2)
+    others = F.slice(F.filter("near", lambda o: o["key"] != F.col("key")), 1, k + 1)
+    lists = pinned(near.select("key", others.alias("near")).where(F.size("near") == k + 1), "left-out-near")
+    far = lambda place: F.element_at("near", F.lit(place))["far"]
+    own = lists.select("key", F.transform(F.slice("near", 1, k), lambda o: o["key"]).alias("first"), far(k).alias("kdist"), far(k + 1).alias("kdist1"))
+    links = lists.select(F.col("key").alias("o"), F.posexplode("near").alias("place", "x")).select("o", "place", F.col("x.key").alias("key"), "x.far")
+    about = links.join(own, "key").groupBy("o").agg(F.array_sort(F.collect_list(F.struct("place", "key", "far", "kdist", "kdist1", "first"))).alias("around"))
+    about = about.join(own.select(F.col("key").alias("o"), "first", "kdist", "kdist1"), "o")
+    without = lambda first, kdist, kdist1: F.when(F.array_contains(first, F.col("fold")), kdist1).otherwise(kdist)
+    pairs = links.where(F.col("place") < k).select(F.col("o").alias("fold"), F.col("key").alias("o"), "far").join(about, "o")
+    around = F.slice(F.filter("around", lambda q: q["key"] != F.col("fold")), 1, k)
+    reach = F.aggregate(around, F.lit(0.0), lambda total, q: total + F.greatest(without(q["first"], q["kdist"], q["kdist1"]), q["far"]))
+    density = 1 / (reach / k + F.lit(1e-10))
+    known = pairs.select("fold", density.alias("density"), F.greatest(without(F.col("first"), F.col("kdist"), F.col("kdist1")), F.col("far")).alias("reach"))
+    return known.groupBy("fold").agg((F.avg("density") * (F.avg("reach") + F.lit(1e-10))).alias("score"))

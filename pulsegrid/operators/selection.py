@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.config import KEEP_OF_PAIR, LEAST_IMPORTANCE, SAME_PAIR
-from pulsegrid.operators.detectors import sampled
+from pulsegrid.functions.tables import pinned
 
 
 def ensemble_score(df: DataFrame, scores: Sequence[str], name: str = "score") -> DataFrame:
@@ -23,25 +23,66 @@ def ensemble_score(df: DataFrame, scores: Sequence[str], name: str = "score") ->
     return df.withColumn(name, sum(parts[1:], parts[0]) / len(parts))
 
 
+def shuffled(number: np.ndarray, n: int, key: int, seed: int, rounds: int = 4) -> np.ndarray:
+    """Where each of the numbers below n goes in a permutation of 0 .. n - 1 that hangs on the key: Feistel rounds over the next power of 4, again while a place is n or above."""
+    half = np.uint64(max(1, -(-max(n - 1, 1).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    salts = np.random.default_rng((seed, key)).integers(1, 1 << 62, rounds, dtype=np.uint64) | np.uint64(1)
+    out = number.astype(np.uint64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for salt in salts:
+            x = (right + salt) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((x >> np.uint64(32)) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def numbered_rows(df: DataFrame, features: Sequence[str]) -> tuple[int, DataFrame]:
+    """The number of rows, and `number` (from 0, without gaps) and `x` (the features) of each: its place in its partition and the rows of the partitions before."""
+    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    rows = pinned(df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"), x), "numbered")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = counts.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return rows.count(), rows.join(F.broadcast(before), "part").select((F.col("id") - F.col("first") + F.col("before")).alias("number"), "x")
+
+
 def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[np.ndarray], np.ndarray], repeats: int = 30, seed: int = 42) -> DataFrame:
-    """Per feature: mean and deviation over `repeats` shuffles of how much the scores move. Rows are a bounded sample, every shuffle a row of a job."""
-    spark = df.sparkSession
-    rows = sampled(df, features)
-    shared = spark.sparkContext.broadcast((rows, score(rows)))
+    """Per feature: mean and deviation over `repeats` shuffles of how much the scores of all rows move.
+
+    A shuffle is a permutation of row numbers, computed for each value where it stands; the values that a row
+    gets in all shuffles (features * repeats of them) meet there, and the row is scored with each.
+    """
+    p = len(features)
+    n, rows = numbered_rows(df, features)
+    rows = pinned(rows, "numbered")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, x = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            for task in range(p * repeats):
+                goes = shuffled(number, n, task, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(goes), pa.array(np.full(len(goes), task, np.int32)), pa.array(x[:, task // repeats])], ["number", "task", "value"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base = shared.value
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p * repeats)
         for batch in batches:
-            moved = []
-            for task in batch.column(0).to_pylist():
-                f, repeat = divmod(task, repeats)
-                x = own.copy()
-                x[:, f] = np.random.default_rng((seed, f, repeat)).permutation(x[:, f])
-                moved.append((features[f], float(np.abs(score(x) - base).mean())))
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in moved], pa.string()), pa.array([m[1] for m in moved])], ["feature", "moved"])
-
-    tasks = spark.range(len(features) * repeats, numPartitions=min(64, len(features) * repeats)).mapInArrow(run, "feature string, moved double")
-    return tasks.groupBy("feature").agg(F.avg("moved").alias("importance"), F.stddev_pop("moved").alias("spread"))
+            x, values = (c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns)
+            base = score(x)
+            for task in range(p * repeats):
+                other = x.copy()
+                other[:, task // repeats] = values[:, task]
+                total[task] += np.abs(score(other) - base).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * repeats, dtype=np.int32)), pa.array(total)], ["task", "moved"])
+
+    got = rows.mapInArrow(send, "number long, task int, value double").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("task", "value"))).alias("got"))
+    given = rows.join(got, "number").select("x", F.col("got.value").alias("values"))
+    moved = given.mapInArrow(move, "task int, moved double").groupBy("task").agg((F.sum("moved") / max(n, 1)).alias("moved"))
+    names = F.array(*map(F.lit, features))
+    return moved.select(F.get(names, F.floor(F.col("task") / repeats).cast("int")).alias("feature"), "moved").groupBy("feature").agg(F.avg("moved").alias("importance"), F.stddev_pop("moved").alias("spread"))
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -5,10 +5,11 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import detectors, evaluation, prep, schedule, selection
+from pulsegrid.operators import detectors, evaluation, neighbours, prep, schedule, selection
 
 FEATURES = ["a", "b", "c"]
 
@@ -66,6 +67,14 @@ def test_local_outlier_factor(spark, table, rows, far):
     assert abs(threshold - np.quantile([density_factor(rows[i], np.delete(rows, i, axis=0), 20) for i in range(30)], 0.99)) < 1e-9
 
 
+def test_left_out_factors_equal_refits(spark):
+    x = np.random.default_rng(8).normal(size=(150, 3))
+    folds = neighbours.left_out_factors(spark.createDataFrame(x.tolist(), "a double, b double, c double").repartition(5), FEATURES, 7)
+    want = [detectors.LocalOutlierFactor.of(np.delete(x, i, axis=0), 7).score(x[i : i + 1])[0] for i in range(150)]
+    assert np.allclose(sorted(r.score for r in folds.collect()), sorted(want))
+    assert neighbours.left_out_factors(spark.createDataFrame(x[:2].tolist(), "a double, b double, c double"), FEATURES).collect() == []
+
+
 def test_one_class_svm_meets_its_conditions(rows, far):
     model = detectors.OneClassSvm.of(rows, nu=0.2)
     gamma = 1 / (3 * rows.var())
@@ -100,12 +109,35 @@ def test_isolation_forest(spark, table, rows, far):
     assert abs({r.fold: r.score for r in folds.collect()}[4] - one) < 1e-12
 
 
+def test_trees_draw_from_every_row_however_they_are_dealt(spark):
+    x = np.random.default_rng(2).normal(size=(30_000, 2))
+    x[20_000:] = x[0]  # a third are equal rows
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    one, two = (detectors.fit_forest(d, ["a", "b"], 20, 64) for d in (df, df.repartition(7)))
+    assert all((a == b).all() for s, t in zip(one.trees, two.trees, strict=True) for a, b in zip(s, t, strict=True))
+    assert one.sample == 64 and all(t[3][0] == 64 for t in one.trees) and len({t[1][0] for t in one.trees}) > 15
+    hashes = detectors.draws(np.arange(2000), 5, 42) / (1 << 53)
+    assert abs(hashes.mean() - 0.5) < 0.02 and abs(np.corrcoef(hashes.T)[0, 1]) < 0.1
+
+
 def test_principal_components(spark, table, rows, far):
     _, s, axes = np.linalg.svd(rows - rows.mean(axis=0))
     k = int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.8)) + 1
     want = [(((p - rows.mean(axis=0)) - axes[:k].T @ (axes[:k] @ (p - rows.mean(axis=0)))) ** 2).sum() for p in far]
     assert np.allclose(values(spark, far, detectors.fit_components(table, FEATURES, 0.8).column()), want)
-    assert detectors.leave_one_out(table, FEATURES, "pca")[0] >= 0
+
+    def left_out(i, x):
+        others = np.delete(x, i, axis=0)
+        _, s, axes = np.linalg.svd(others - others.mean(axis=0))
+        k = int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.95)) + 1
+        d = x[i] - others.mean(axis=0)
+        return ((d - axes[:k].T @ (axes[:k] @ d)) ** 2).sum()
+
+    many = np.random.default_rng(3).normal(size=(500, 5)) * [3, 2, 1, 0.5, 0.2] + 7
+    df = spark.createDataFrame(many.tolist(), "a double, b double, c double, d double, e double")
+    threshold, folds = detectors.leave_one_out(df, list("abcde"), "pca")
+    want = [left_out(i, many) for i in range(500)]
+    assert np.allclose(sorted(r.score for r in folds.collect()), sorted(want)) and abs(threshold - np.quantile(want, 0.99)) < 1e-9
 
 
 def test_left_out_tail_scores_are_those_of_all_rows(table, rows):
@@ -128,6 +160,24 @@ def test_pruning_clipping_and_scaling(spark):
     assert [r.a for r in prep.transform(df, params).where("file in ('f0', 'f39', 'f20')").orderBy("a").collect()] == pytest.approx([(0.39 - 19.5) / 19.5, 0.5 / 19.5, (38.61 - 19.5) / 19.5])
 
 
+def test_importance_equals_shuffles_by_hand(spark):
+    for n in (1, 2, 5, 16, 17, 1000):
+        for key in (0, 7):
+            assert sorted(selection.shuffled(np.arange(n), n, key, 42).tolist()) == list(range(n))
+    assert (selection.shuffled(np.arange(1000), 1000, 0, 42) != selection.shuffled(np.arange(1000), 1000, 1, 42)).sum() > 900
+    x = np.random.default_rng(6).normal(size=(83, 2))
+    df = spark.createDataFrame(x.tolist(), "a double, b double").repartition(4)
+    n, numbered = selection.numbered_rows(df, ["a", "b"])
+    order = np.array([r.x for r in numbered.orderBy("number").collect()])
+    assert n == 83 and [r.number for r in numbered.orderBy("number").collect()] == list(range(83))
+    assert sorted(map(tuple, order)) == sorted(map(tuple, x))
+    got = {r.feature: r.importance for r in selection.permutation_importance(df, ["a", "b"], lambda x: x[:, 0] * x[:, 1], 5).collect()}
+    # the rows may be numbered otherwise in another run: each feature's mean lies near that of all shuffles
+    for f, j in (("a", 0), ("b", 1)):
+        want = np.mean([np.abs(x[i, j] - x[k, j]) * abs(x[i, 1 - j]) for i in range(83) for k in range(83)])
+        assert abs(got[f] - want) < 0.25 * want
+
+
 def test_permutation_importance_and_pairs(spark, rows):
     df = spark.createDataFrame([(*r, r[0] * 2 + 1) for r in rows.tolist()], "a double, b double, c double, d double")
     got = {r.feature: r for r in selection.permutation_importance(df, ["a", "b"], lambda x: 3 * x[:, 0], repeats=20).collect()}
