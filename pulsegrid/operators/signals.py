@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.columns import cv, eccentricity, ordered, seconds
+from pulsegrid.functions.kernels import hann
 
 
 def changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value", name: str = "change") -> DataFrame:
@@ -75,6 +79,52 @@ def band_summary(spectra: DataFrame, key: str) -> DataFrame:
     return spectra.withColumn("p", share).groupBy(key).agg(F.sum("power").alias("band_power"), F.max_by("frequency", F.struct("power", -F.col("frequency"))).alias("top_hz"), F.sum(-F.col("p") * F.log(F.col("p") + F.lit(1e-12))).alias("entropy"))
 
 
+def windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, hop: int, value: str = "value") -> DataFrame:
+    """keys, window (from 0) and samples: the whole windows of `size` rows of each series, one beginning every `hop` rows.
+
+    A row is dealt to the windows that hold it, so no group is larger than a window, however long a series is. A
+    window with a null value is left out, as a series that is shorter than a window is.
+    """
+    first = F.greatest(F.ceil((F.col("i") - (size - 1)) / hop), F.lit(0))
+    held = numbered(df, keys, order).select(*keys, "i", F.col(value).cast("double").alias("v"), F.explode(F.when(first <= F.floor(F.col("i") / hop), F.sequence(first, F.floor(F.col("i") / hop)))).alias("window"))
+    found = held.groupBy(*keys, "window").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("rows"), F.count("v").alias("n")).where(F.col("n") == size)
+    return found.select(*keys, "window", F.col("rows.v").alias("samples"))
+
+
+def periodograms(held: DataFrame, keys: Sequence[str], size: int, fps: float, tapered: bool = True) -> DataFrame:
+    """keys, window, bin, frequency and power of each window (see `windows`) without its mean: its one-sided power density under a Hann taper, or the plain squares of its Fourier sums."""
+    weights = hann(size) if tapered else np.ones(size)
+    scale = np.ones(size // 2 + 1)
+    if tapered:
+        scale /= fps * (weights * weights).sum()
+        scale[1 : -1 if size % 2 == 0 else None] *= 2
+    names = [*keys, "window"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            power = np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * weights, axis=1)) ** 2 * scale
+            offsets = pa.array(np.arange(batch.num_rows + 1) * power.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(power.reshape(-1)))], [*names, "powers"])
+
+    kind = T.StructType([*[held.schema[c] for c in names], T.StructField("powers", T.ArrayType(T.DoubleType()))])
+    rows = held.select(*names, "samples").mapInArrow(run, kind).select(*names, F.posexplode("powers").alias("bin", "power"))
+    return rows.select(*names, "bin", (F.col("bin") * F.lit(float(fps)) / size).alias("frequency"), "power")
+
+
+def welch(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, fps: float, value: str = "value") -> DataFrame:
+    """keys, frequency and power: the mean of the periodograms of a series' half-overlapping windows, as an aggregate over them."""
+    held = windows(df, keys, order, size, size - size // 2, value)
+    return periodograms(held, keys, size, fps).groupBy(*keys, "bin", "frequency").agg(F.avg("power").alias("power")).drop("bin")
+
+
+def stability(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int, hop: int, fps: float, low: float, high: float, value: str = "value") -> DataFrame:
+    """Per series: how the frequency of most power, from `low` to `high`, varies over its windows, and their number."""
+    rows = periodograms(windows(df, keys, order, size, hop, value), keys, size, fps, tapered=False).where(F.col("frequency").between(low, high))
+    tops = rows.groupBy(*keys, "window").agg(F.max_by("frequency", F.struct("power", -F.col("frequency"))).alias("top"))
+    return tops.groupBy(*keys).agg(F.stddev_pop("top").alias("freq_stability_std"), F.count(F.lit(1)).alias("windows"))
+
+
 def variance_mask(df: DataFrame, key: str, cell: str, value: str, factor: float = 0.5) -> DataFrame:
     """Per series: the share of its cells whose variance is above `factor` times the cells' mean variance."""
     cells = df.groupBy(key, cell).agg(F.var_pop(value).alias("v"))

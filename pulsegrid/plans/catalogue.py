@@ -383,3 +383,33 @@ def q38_recordings(spark, sf_dir):
     frames = table(spark, sf_dir, "events").select(F.col("user_id").alias("machine"), "ts", (F.col("value") > 20).alias("active"))
     rule = Sessions(confirm=2, gap_s=4 * 3600.0, longest_s=12 * 3600.0, cooldown_s=3600.0, before_s=3 * 3600.0, fps=1 / 3600)
     return monitor.recordings_of(frames, rule).select("machine", "clip", "n", "first_frame", "last_frame", "lost_s")
+
+
+_TURN = "6.283185307179586"
+
+
+def _fourier(size: int, weight: str = "1") -> str:
+    """Squares of the Fourier sums at k of the list x without its mean, weighted by an expression of j."""
+    part = lambda f: f"power(list_sum([(x[j + 1] - m) * {weight} * {f}({_TURN} * k * j / {size}) for j in range({size})]), 2)"
+    return f"({part('cos')} + {part('sin')})"
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings),
+w AS (SELECT vec_id, s, [v[8 * s + j + 1] for j in range(16)] AS x, list_avg(x) AS m FROM e, range(7) t(s)),
+p AS (SELECT vec_id, k, avg({_fourier(16, f"(0.5 - 0.5 * cos({_TURN} * j / 16))")} / (30.0 * 6) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END) AS p
+      FROM w, range(9) t(k) WHERE k * 30.0 / 16 BETWEEN 1 AND 20 GROUP BY ALL),
+q AS (SELECT *, p / (sum(p) OVER (PARTITION BY vec_id) + 1e-9) AS q FROM p),
+a AS (SELECT vec_id, round(sum(p), 6) AS band_power, arg_max(k * 30.0 / 16, p)::DOUBLE AS top_hz, round(sum(-q * ln(q + 1e-12)), 6) AS entropy FROM q GROUP BY 1),
+l AS (SELECT vec_id, s, [v[8 * s + j + 1] for j in range(32)] AS x, list_avg(x) AS m FROM e, range(5) t(s)),
+f AS (SELECT vec_id, s, arg_max(k * 30.0 / 32, {_fourier(32)}) AS top FROM l, range(17) t(k) WHERE k * 30.0 / 32 BETWEEN 1 AND 20 GROUP BY ALL),
+b AS (SELECT vec_id, round(stddev_pop(top), 6) AS freq_stability_std, count(*) AS windows FROM f GROUP BY 1)
+SELECT * FROM a JOIN b USING (vec_id)
+""")
+def q39_welch_windows(spark, sf_dir):
+    """Welch spectra and the steadiness of the top frequency, of embeddings as series of 64 samples, a sample a row."""
+    samples = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "value"))
+    spectra = signals.welch(samples, ["vec_id"], ["place"], 16, 30.0).where(F.col("frequency").between(1.0, 20.0))
+    steady = signals.stability(samples, ["vec_id"], ["place"], 32, 8, 30.0, 1.0, 20.0)
+    summary = signals.band_summary(spectra, "vec_id").select("vec_id", r6("band_power").alias("band_power"), "top_hz", r6("entropy").alias("entropy"))
+    return summary.join(steady.select("vec_id", r6("freq_stability_std").alias("freq_stability_std"), "windows"), "vec_id")

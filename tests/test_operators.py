@@ -337,3 +337,19 @@ def test_streamed_schedule_check_equals_the_table(spark, tmp_path):
     out = monitor.checked(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), model.first().asDict())
     out.writeStream.format("memory").queryName("checked").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert {r.id: r.anomalies for r in spark.table("checked").collect()} == want
+
+
+def test_windows_of_long_series_equal_the_kernels(spark):
+    long, short = wave(3.3, 5000, noise=0.4), wave(5.0, 300)
+    rows = [(k, i, float(v)) for k, x in (("long", long), ("short", short)) for i, v in enumerate(x)] + [("few", 0, 1.0), ("few", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i long, value double").withColumnRenamed("i", "at").repartition(5)
+    got = signals.welch(df, ["k"], ["at"], 256, 30.0).orderBy("k", "frequency").collect()
+    for k, x in (("long", long), ("short", short)):
+        f, psd = K.welch(x, 30.0, 256)
+        own = [(r.frequency, r.power) for r in got if r.k == k]
+        assert np.allclose(own, np.column_stack([f, psd]))
+    assert {r.k for r in got} == {"long", "short"}
+    steady = {r.k: r for r in signals.stability(df, ["k"], ["at"], 120, 15, 30.0, OFFLINE.low_hz, OFFLINE.high_hz).collect()}
+    assert abs(steady["long"].freq_stability_std - extract.spectral(long, 30.0, OFFLINE)["freq_stability_std"]) < 1e-9 and steady["long"].windows == (5000 - 120) // 15 + 1
+    held = signals.windows(df.where("k = 'short'"), ["k"], ["at"], 7, 3).orderBy("window").collect()
+    assert [r.samples for r in held] == [short[a : a + 7].tolist() for a in range(0, 300 - 6, 3)] and [r.window for r in held] == list(range(len(held)))
