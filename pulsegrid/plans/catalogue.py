@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.config import Sessions
 from pulsegrid.functions.columns import clipped, cv, scaled, seconds
 from pulsegrid.operators import detectors, evaluation, extract, neighbours, prep, schedule, selection, signals
-from pulsegrid.streaming import monitor
+from pulsegrid.streaming import live, monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -357,7 +357,7 @@ _FRAMES = """f AS (
     FROM events)"""
 
 
-@query(f"""
+_RECORDER = f"""
 WITH RECURSIVE {_FRAMES},
 r AS (
     SELECT user_id, i, ts, 0 AS level, NULL::DOUBLE AS last, NULL::DOUBLE AS trigger, NULL::DOUBLE AS began, NULL::TIMESTAMP AS began_at, 0::BIGINT AS n, FALSE AS ends FROM f WHERE i = 1
@@ -373,7 +373,10 @@ r AS (
                 FROM (
                     SELECT f.user_id, f.i, f.ts, f.t, least(greatest(CASE WHEN r.ends THEN 0 ELSE r.level END + CASE WHEN f.moved THEN 1 ELSE -1 END, 0), 2) AS level,
                            CASE WHEN NOT r.ends THEN r.last END AS last, r.trigger, CASE WHEN NOT r.ends THEN r.began END AS began, CASE WHEN NOT r.ends THEN r.began_at END AS began_at, r.n
-                    FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1)))))
+                    FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1)))))"""
+
+
+@query(f"""{_RECORDER}
 SELECT user_id AS machine, strftime(began_at, '%Y%m%d_%H%M%S') AS clip, n, i - n AS first_frame, i - 1 AS last_frame,
        round(epoch_us(ts) / 1e6 - epoch_us(began_at) / 1e6 - (n * 3600.0 - 10800.0), 3) AS lost_s
 FROM r JOIN (SELECT user_id, max(i) AS final FROM f GROUP BY user_id) USING (user_id) WHERE began IS NOT NULL AND (ends OR i = final)
@@ -413,3 +416,18 @@ def q39_welch_windows(spark, sf_dir):
     steady = signals.stability(samples, ["vec_id"], ["place"], 32, 8, 30.0, 1.0, 20.0)
     summary = signals.band_summary(spectra, "vec_id").select("vec_id", r6("band_power").alias("band_power"), "top_hz", r6("entropy").alias("entropy"))
     return summary.join(steady.select("vec_id", r6("freq_stability_std").alias("freq_stability_std"), "windows"), "vec_id")
+
+
+@query(f"""{_RECORDER},
+c AS (SELECT user_id, began_at, n, i - n + 1 AS first, i AS last FROM r JOIN (SELECT user_id, max(i) AS final FROM f GROUP BY user_id) USING (user_id) WHERE began IS NOT NULL AND (ends OR i = final)),
+p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, lpad(event_id::VARCHAR, 12, '0') AS pixels FROM events)
+SELECT user_id AS machine, strftime(began_at, '%Y%m%d_%H%M%S') AS clip, n, sum(length(pixels))::BIGINT AS bytes, sha256(string_agg(pixels, '' ORDER BY i)) AS frames_sha256
+FROM c JOIN p USING (user_id) WHERE i BETWEEN first AND last GROUP BY user_id, began_at, n
+""")
+def q40_clip_frames(spark, sf_dir):
+    """The frames of each of q38's recordings in order, an event's frame being the digits of its id."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("machine"), "ts", (F.col("value") > 20).alias("active"), F.lpad(F.col("event_id").cast("string"), 12, "0").cast("binary").alias("pixels"))
+    rule = Sessions(confirm=2, gap_s=4 * 3600.0, longest_s=12 * 3600.0, cooldown_s=3600.0, before_s=3 * 3600.0, fps=1 / 3600)
+    frames = events.select("machine", "ts", F.lit(1).alias("h"), F.lit(12).alias("w"), "pixels")
+    clips = live.gathered(monitor.recordings_of(events.select("machine", "ts", "active"), rule), frames, rule)
+    return clips.select("machine", "clip", "n", F.length("pixels").cast("long").alias("bytes"), F.sha2("pixels", 256).alias("frames_sha256"))

@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulsegrid.config import LIVE, LIVE_FEATURES, SELECTED, VOTES, Profile, Sessions
+from pulsegrid.functions.columns import seconds
 from pulsegrid.operators import evaluation, extract, prep
 from pulsegrid.sources.files import write_csv
 from pulsegrid.streaming import monitor
@@ -167,14 +168,19 @@ def clips(frames: DataFrame, rule: Sessions = Sessions(), late: str = "10 second
 
 
 def clips_of(frames: DataFrame, rule: Sessions = Sessions()) -> DataFrame:  # noqa: B008
-    """The same of a table.
+    """The same of a table: recordings are folded from times and motion alone, then their frames are gathered."""
+    return gathered(monitor.recordings_of(extract.moving(frames, rule).select("machine", "ts", "active"), rule), frames, rule)
 
-    Recordings are folded from times and motion alone; each explodes the numbers of its frames, which are joined with
-    those of the machine's frames, so pixels move once to be compared and once to be put together.
+
+def gathered(recordings: DataFrame, frames: DataFrame, rule: Sessions = Sessions()) -> DataFrame:  # noqa: B008
+    """The clips of recordings (see `monitor.recordings_of`) with their frames.
+
+    Each recording explodes the numbers of its frames, which are joined with those of the machine's frames in order
+    of time, and by their times with the frames, so pixels move once to be compared and once to be put together:
+    sorted by clip and number they are folded row by row, and only the clip at hand is in memory.
     """
-    found = monitor.recordings_of(extract.moving(frames, rule).select("machine", "ts", "active"), rule)
     numbers = frames.select("machine", "ts", (F.row_number().over(Window.partitionBy("machine").orderBy("ts")) - 1).cast("long").alias("number"))
-    wanted = found.select("machine", "start", "end", "n", "first_frame", "last_frame", F.explode(F.sequence("first_frame", "last_frame")).alias("number"))
+    wanted = recordings.select("machine", "start", "end", "n", "first_frame", "last_frame", F.explode(F.sequence("first_frame", "last_frame")).alias("number"))
     shots = wanted.join(numbers, ["machine", "number"]).join(frames.select("machine", "ts", "h", "w", "pixels"), ["machine", "ts"])
     schema = _clip_schema(frames)
     arrow, names = to_arrow_schema(schema), ["machine", "start", "end", "n", "first_frame", "last_frame"]
@@ -185,19 +191,21 @@ def clips_of(frames: DataFrame, rule: Sessions = Sessions()) -> DataFrame:  # no
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held, size = None, [], (0, 0)
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in [*names, "h", "w", "pixels", "ts"]], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in [*names, "h", "w", "pixels", "trigger"]], strict=True):
                 if head != list(row[:6]):
                     if head is not None:
                         yield clip(head, held, size)
                     head, held = list(row[:6]), []
                 held.append(row[6:9])
-                if row[9] == row[1]:  # the frame that started the clip
+                if row[9]:
                     size = row[6:8]
         if head is not None:
             yield clip(head, held, size)
 
     ordered = shots.repartition("machine", "start").sortWithinPartitions("machine", "start", "number")
-    return _named(ordered.select(*names, "h", "w", "pixels", "ts").mapInArrow(fold, schema), rule)
+    # recordings have their times as numbers of seconds that are rounded to microseconds
+    trigger = F.abs(seconds(F.col("ts")) - seconds(F.col("start"))) < 1e-6
+    return _named(ordered.select(*names, "h", "w", "pixels", trigger.alias("trigger")).mapInArrow(fold, schema), rule)
 
 
 @dataclass(frozen=True)
