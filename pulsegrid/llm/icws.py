@@ -38,6 +38,8 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Bytes of text in a part of a bucket (a text counts as LIGHT at least), and shared shingles that are multiplied out at once.
 CELL, LIGHT, TILE = 1 << 18, 1 << 10, 2048
+#: Members of a leader that are compared with one copy of its text.
+LED = 512
 #: Counters of document frequencies, and how many of them go in one row.
 TABLE, PACK = 1 << 20, 1 << 14
 #: A shingle in one of RARE documents or fewer weighs 1 + LIFT, one in all documents 1.
@@ -324,11 +326,18 @@ class NearDuplicates:
         return by_keys(self.signed.select("key", F.col("doc")[self.text_col].alias("text")), keys, "key", "left_semi", most)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of `least` similarity or more. Each leader's shingles are made once for the pairs of it that follow each other."""
+        """The pairs (a, b) of `least` similarity or more. Each leader's shingles are made once for the pairs of it that follow each other.
+
+        A leader's text is copied once for each LED members, which are dealt to the copies: no task has to take all members of one.
+        """
         texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), 2 * pairs.count())
         led = pairs.select(F.when(F.col("a_leads"), F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(F.col("a_leads"), F.col("b")).otherwise(F.col("a")).alias("member"))
+        copies = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).select("leader", "n", F.ceil(F.col("n") / LED).alias("copies"))
+        copies = written(copies, "near-leaders")
+        led = join_groups(led, copies, "leader", "n", pairs.count()).select("leader", "member", F.pmod(F.xxhash64("member"), F.col("copies")).alias("copy"))
+        leaders = texts.join(copies, F.col("key") == F.col("leader")).select("leader", F.col("text").alias("leader_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
         with_member = led.join(texts.select(F.col("key").alias("member"), F.col("text").alias("member_text")), "member")
-        both = with_member.join(texts.select(F.col("key").alias("leader"), F.col("text").alias("leader_text")), "leader")
+        both = with_member.join(leaders, ["leader", "copy"])
         shared, least = self.sampler, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
