@@ -11,11 +11,11 @@ from pulsegrid.llm.common import delete, join_groups, noted, written
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) to `key, label`: every end of a link with the least key that it is connected with.
 
-    Each round a node goes to the one among itself and its neighbours that comes first by a hash, then to where
-    that one went; links between the places reached are the next round's graph. Hashes differ by round, so on
-    any graph, a long path or a hub too, links fall by a constant factor on average, and all rounds together
-    take a multiple of the links. Places of hot nodes (of which there are few) are broadcast, so no task gets
-    all of a hub's links. Each round is written, so a lost executor loses no round.
+    Each round a node goes to the one among itself and its neighbours that has most links (of equals the first by
+    a hash), then to where that one went; links between the places reached are the next round's graph. What hangs
+    on a hub is gone after a round, and hashes differ by round, so a long path shrinks by a constant factor on
+    average: all rounds together take a multiple of the links. Places of hot nodes (of which there are few) are
+    broadcast, so no task gets all of a hub's links. Each round is written, so a lost executor loses no round.
     """
     spark, graph = links.sparkSession, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     with noted() as paths:
@@ -23,10 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         while not graph.isEmpty():
             seed = F.lit(len(rounds))
             ends = graph.union(graph.select("b", "a"))
-            first = lambda c: F.struct(F.xxhash64(c, seed).alias("hash"), F.col(c).alias("node"))  # noqa: B023, E731
-            near = ends.groupBy(F.col("a").alias("node")).agg(F.min(first("b")).alias("least"), F.count(F.lit(1)).alias("degree"))
-            near = written(near.select("node", F.least("least", first("node"))["node"].alias("place"), "degree"), "labels")
-            n, n_ends = near.agg(F.count(F.lit(1)), F.sum("degree")).first()
+            degrees = written(ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "labels")
+            n, n_ends = degrees.agg(F.count(F.lit(1)), F.sum("degree")).first()
+            first = lambda c, degree: F.struct((-degree).alias("fewer"), F.xxhash64(c, seed).alias("hash"), F.col(c).alias("node"))  # noqa: B023, E731
+            seen = join_groups(ends.withColumnRenamed("b", "node"), degrees, "node", "degree", n_ends)
+            near = seen.groupBy("a").agg(F.min(first("node", F.col("degree"))).alias("least"), F.count(F.lit(1)).alias("degree"))
+            near = written(near.select(F.col("a").alias("node"), F.least("least", first("a", F.col("degree")))["node"].alias("place"), "degree"), "labels")
             taken = near.groupBy("place").agg(F.count(F.lit(1)).alias("taken"))
             jump = written(near.select(F.col("node").alias("place"), F.col("place").alias("further")).join(taken, "place"), "labels")
             moved = written(join_groups(near, jump, "place", "taken", n).select("node", F.col("further").alias("place"), "degree"), "labels")
