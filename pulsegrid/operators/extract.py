@@ -135,6 +135,25 @@ def extract_arrays(df: DataFrame, key: str, samples: str, fps: float = 30.0, fea
     return df.select(key, F.col(samples).cast("array<double>")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{f} double" for f in features))
 
 
+def grayed(frames: DataFrame) -> DataFrame:
+    """Frames or clips (h, w, pixels and others) whose pixels are blue, green and red bytes, with gray ones, as all operators here take them.
+
+    Null pixels stay null, and those that aren't a whole number of h * w colours become null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = batch.schema.get_field_index("pixels"), []
+            for h, w, pixels in zip(*[batch.column(c).to_pylist() for c in ("h", "w", "pixels")], strict=True):
+                whole = pixels is not None and h and w and len(pixels) % (3 * h * w) == 0
+                out.append(K.gray(np.frombuffer(pixels, np.uint8).reshape(-1, 3)).tobytes() if whole else None)
+            columns = batch.columns
+            columns[at] = pa.array(out, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return frames.mapInArrow(run, frames.schema)
+
+
 def in_motion(before: tuple[int, int, bytes | None] | None, now: tuple[int, int, bytes | None], rule: Sessions) -> bool:
     """Whether least_pixels or more changed between two gray frames (h, w, pixels). Without a frame before, without pixels, or of another size: no."""
     if before is None or now[2] is None or before[2] is None or now[:2] != before[:2]:

@@ -122,3 +122,13 @@ def test_one_query_from_frames_to_the_log_over_a_restart(spark, frames, tmp_path
     go()
     assert logged(spark, tmp_path / "out") == want
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "perf")).count() == 4
+
+
+def test_colour_frames_become_gray(spark):
+    rng = np.random.default_rng(4)
+    colours = rng.integers(0, 256, (3, 5, 4, 3)).astype(np.uint8)
+    rows = [(1, 5, 4, bytearray(colours[:1].tobytes()), "a"), (2, 5, 4, bytearray(colours.tobytes()), "b"), (3, 5, 4, None, "c"), (4, 5, 4, bytearray(7), "d"), (5, None, 4, bytearray(12), "e")]
+    got = {r.k: r for r in extract.grayed(spark.createDataFrame(rows, "k int, h int, w int, pixels binary, other string")).collect()}
+    by_hand = lambda x: bytes(min(255, round(0.114 * b + 0.587 * g + 0.299 * r)) for b, g, r in x.reshape(-1, 3).astype(float).tolist())
+    assert bytes(got[1].pixels) == by_hand(colours[:1]) and bytes(got[2].pixels) == by_hand(colours)
+    assert got[3].pixels is got[4].pixels is got[5].pixels is None and [got[k].other for k in range(1, 6)] == list("abcde")
