@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.config import LOO_PERCENTILE
 from pulsegrid.functions.quantiles import exact_quantiles, range_of
+from pulsegrid.functions.tables import pinned
 
 #: Rows that a detector which keeps rows may be fitted on (a documented bound: at 14 features 2 MB).
 MOST_ROWS = 20_000
@@ -352,29 +353,41 @@ def fit_components(df: DataFrame, features: Sequence[str], keep: float | int = 0
 def ecod(df: DataFrame, features: Sequence[str], key: str, name: str = "score") -> DataFrame:
     """Empirical tail probabilities: the largest of the sums of -ln of left, right and (by skewness) chosen tails.
 
-    A feature's ranks come from counts of its distinct values, dealt by range: partial sums for each
-    range are added up, so no task holds a feature.
+    Values are laid out one a row, (row, feature, value), so all features are ranked at once and only these slim
+    rows are shuffled; ranks come from counts of distinct values (see `feature_ranks`). Values of more than 1
+    row in HOT of a feature, HOT at most, are looked up by broadcast.
     """
+    columns = df.columns
     skews = df.agg(*[F.skewness(F.col(f).cast("double")).alias(f) for f in features]).first()
-    n = df.count()
-    out = df
-    left, right, auto = [], [], []
-    for i, f in enumerate(features):
-        ranks = value_ranks(df.select(F.col(f).cast("double").alias("v")), "v").select(F.col("v").alias(f"_v{i}"), F.col("up_to").alias(f"_l{i}"), F.col("from").alias(f"_r{i}"), F.col("n").alias("_n"))
-        # values of more than 1 row in HOT, HOT at most, are broadcast; the rows that have one are then dealt by a number of their own
-        hot, rest = ranks.where(F.col("_n") > n / HOT), ranks.where(F.col("_n") <= n / HOT).withColumn("_alone", F.lit(0).cast("long"))
-        hot, rest = hot.select(F.col(f"_v{i}").alias("_hot"), F.col(f"_l{i}").alias("_l"), F.col(f"_r{i}").alias("_r")), rest.drop("_n")
-        value = F.col(f).cast("double")
-        out = out.join(F.broadcast(hot), value.eqNullSafe(F.col("_hot")), "left").withColumn("_mine", F.when(F.col("_l").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
-        out = out.join(rest, (F.col("_mine") == F.col("_alone")) & value.eqNullSafe(F.col(f"_v{i}")), "left")
-        out = out.withColumns({f"_l{i}": F.coalesce("_l", f"_l{i}"), f"_r{i}": F.coalesce("_r", f"_r{i}")}).drop("_hot", "_l", "_r", "_mine", "_alone", f"_v{i}")
-        lo, hi = -F.log(F.col(f"_l{i}") / n), -F.log(F.col(f"_r{i}") / n)
-        left.append(lo)
-        right.append(hi)
-        skew = skews[f]
-        auto.append(lo if skew is not None and skew < 0 else hi)
-    add = lambda cs: sum(cs, F.lit(0.0))
-    return out.select(*df.columns, F.greatest(add(left), add(right), add(auto)).alias(name))
+    rows = pinned(df.withColumn("_row", F.monotonically_increasing_id()), "tails")
+    n = rows.count()
+    values = rows.select("_row", F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "v"))
+    ranks = pinned(feature_ranks(values), "tail-ranks")
+    hot = F.broadcast(ranks.where(F.col("n") > n / HOT).select(F.col("feature").alias("_f"), F.col("v").alias("_v"), "up_to", "from"))
+    same = (F.col("feature") == F.col("_f")) & F.col("v").eqNullSafe(F.col("_v"))
+    rest = ranks.where(F.col("n") <= n / HOT).select(F.col("feature").alias("_f"), F.col("v").alias("_v"), "up_to", "from")
+    known = values.join(hot, same).unionByName(values.join(hot.drop("up_to", "from"), same, "left_anti").join(rest, same))
+    left, right = -F.log(F.col("up_to") / n), -F.log(F.col("from") / n)
+    falls = F.array(*[F.lit(skews[f] is not None and skews[f] < 0) for f in features])
+    chosen = F.when(F.get(falls, F.col("feature")), left).otherwise(right)
+    scores = known.groupBy("_row").agg(F.greatest(F.sum(left), F.sum(right), F.sum(chosen)).alias(name))
+    return rows.join(scores, "_row").select(*columns, name)
+
+
+def feature_ranks(values: DataFrame, ranges: int = 256) -> DataFrame:
+    """values (feature, v): per feature and distinct value, how many rows have it, how many have no larger one (`up_to`) and how many no smaller one (`from`); null is the least, NaN the largest.
+
+    Counts are dealt by ranges of the feature's values, `ranges` at most; the ranges' totals, one row each, are summed first.
+    """
+    counts = values.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy("feature").agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10_000).alias("ends"))
+    part = F.when(F.col("v").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("ends", F.array().cast("array<double>")), lambda e: e < F.col("v"))))
+    dealt = counts.join(F.broadcast(ends), "feature").select("feature", "v", "n", part.alias("part"))
+    totals = dealt.groupBy("feature", "part").agg(F.sum("n").alias("here"))
+    of = Window.partitionBy("feature")
+    starts = totals.select("feature", "part", (F.sum("here").over(of.orderBy("part")) - F.col("here")).alias("before"), F.sum("here").over(of).alias("total"))
+    ranked = dealt.join(starts, ["feature", "part"]).withColumn("up_to", F.col("before") + F.sum("n").over(Window.partitionBy("feature", "part").orderBy("v")))
+    return ranked.select("feature", "v", "n", "up_to", (F.col("total") - F.col("up_to") + F.col("n")).alias("from"))
 
 
 def value_ranks(values: DataFrame, column: str) -> DataFrame:
