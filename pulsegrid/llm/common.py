@@ -35,10 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that every executor reads and writes: spark.checkpoint.dir, or one below the warehouse where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", got)
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return got.rstrip("/")
 
 
