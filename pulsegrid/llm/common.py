@@ -91,16 +91,23 @@ def row_keys(count: int, at: int) -> np.ndarray:
 
 #: A key with more than this share of all rows is hot: no more than 1 / HOT keys are, however large the table.
 HOT = 1 / 2000
+#: Rows that any task can take: a key of so few is not hot, however few there are together.
+FEW_ROWS = 256
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int | None = None) -> DataFrame:
     """rows, each with the columns of its group (one row for each key; `size` is its number of rows, of `total` together).
 
     The hot groups, 1 / HOT at most, are broadcast; the rows of the others are shuffled by their key. Null keys match nothing.
+    Where no group is hot it is a plain join: the driver holds each broadcast, and a thread and a plan for it. `most` is
+    the largest group's size; if it isn't given, the groups are looked through.
     """
-    hot = groups.where(F.col(size) > total * HOT)
+    limit = max(total * HOT, FEW_ROWS)
+    hot = groups.where(F.col(key).isNotNull() & (F.col(size) > limit))
+    if (total if most is None else most) <= limit or most is None and hot.isEmpty():
+        return rows.join(groups, key)
     keys = hot.select(F.col(key).alias("_hot"))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(keys), F.col(key) == F.col("_hot"), "left_anti").join(groups.where(F.col(size) <= total * HOT), key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(keys), F.col(key) == F.col("_hot"), "left_anti").join(groups.where(F.col(size) <= limit), key))
 
 
 def held_out(doc_id: Column) -> Column:

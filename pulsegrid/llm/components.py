@@ -24,9 +24,9 @@ def components(links: DataFrame) -> DataFrame:
             seed = F.lit(len(rounds))
             ends = graph.union(graph.select("b", "a"))
             degrees = written(ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree")), "labels")
-            n, n_ends = degrees.agg(F.count(F.lit(1)), F.sum("degree")).first()
+            n, n_ends, most = degrees.agg(F.count(F.lit(1)), F.sum("degree"), F.max("degree")).first()
             first = lambda c, degree: F.struct((-degree).alias("fewer"), F.xxhash64(c, seed).alias("hash"), F.col(c).alias("node"))  # noqa: B023, E731
-            seen = join_groups(ends.withColumnRenamed("b", "node"), degrees, "node", "degree", n_ends)
+            seen = join_groups(ends.withColumnRenamed("b", "node"), degrees, "node", "degree", n_ends, most)
             near = seen.groupBy("a").agg(F.min(first("node", F.col("degree"))).alias("least"), F.count(F.lit(1)).alias("degree"))
             near = written(near.select(F.col("a").alias("node"), F.least("least", first("a", F.col("degree")))["node"].alias("place"), "degree"), "labels")
             taken = near.groupBy("place").agg(F.count(F.lit(1)).alias("taken"))
@@ -34,12 +34,12 @@ def components(links: DataFrame) -> DataFrame:
             moved = written(join_groups(near, jump, "place", "taken", n).select("node", F.col("further").alias("place"), "degree"), "labels")
             rounds.append((moved, n))
             for old in ("a", "b"):
-                graph = join_groups(graph.withColumnRenamed(old, "node"), moved, "node", "degree", n_ends).drop("node", "degree").withColumnRenamed("place", old)
+                graph = join_groups(graph.withColumnRenamed(old, "node"), moved, "node", "degree", n_ends, most).drop("node", "degree").withColumnRenamed("place", old)
             graph = written(graph.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
         labels = spark.createDataFrame([], "node long, label long")
         for moved, n in reversed(rounds):
             taken = moved.groupBy("place").agg(F.count(F.lit(1)).alias("taken"))
-            further = taken.join(labels.withColumnRenamed("node", "place"), "place", "left").select("place", "taken", F.coalesce("label", "place").alias("label"))
+            further = written(taken.join(labels.withColumnRenamed("node", "place"), "place", "left").select("place", "taken", F.coalesce("label", "place").alias("label")), "labels")
             labels = written(join_groups(moved, further, "place", "taken", n).select("node", "label"), "labels")
         named = written(labels.groupBy("label").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("taken")), "labels")
         out = written(join_groups(labels, named, "label", "taken", rounds[0][1] if rounds else 0).select(F.col("node").alias("key"), F.col("least").alias("label")), "components")

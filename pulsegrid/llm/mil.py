@@ -40,14 +40,14 @@ _CLASS = _byte_classes()
 WIDTH = _CLASSES * _CLASSES + 2
 
 
-def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage of the rows, and how many passages each row has (one at least)."""
+def passages(raw: np.ndarray, offsets: np.ndarray, limit: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Features of every passage of the rows, and how many passages each row has (one at least). limit: bytes of rows that are taken together."""
     sizes = np.diff(offsets)
     counts = np.maximum(1, -(-sizes // PASSAGE))
     out = np.zeros((int(counts.sum()), WIDTH), np.float32)
     first = np.cumsum(counts) - counts
     pieces = []  # (start, end, first passage, cuts between rows)
-    for lo, hi in blocks(offsets):
+    for lo, hi in blocks(offsets, limit):
         if hi - lo == 1:
             for at in range(int(offsets[lo]), int(offsets[hi]), BLOCK // PASSAGE * PASSAGE):
                 pieces.append((lo, hi, at, min(at + BLOCK // PASSAGE * PASSAGE, int(offsets[hi]))))
@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: in
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS)
     got = sorted(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect(), key=lambda r: r[0])
     raw, offsets = text_buffer(pa.array([r[2] for r in got], pa.string()))
-    features, counts = passages(raw, offsets) if got else (np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64))
+    # in small pieces, as the driver's memory is
+    features, counts = passages(raw, offsets, BLOCK // 16) if got else (np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64))
     return fit(features, counts, np.array([r[1] for r in got], np.float64), seed=seed)
 
 

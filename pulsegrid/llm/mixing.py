@@ -110,11 +110,14 @@ class Mix:
         placed = written(placed.withColumn("words", F.col("m") * F.col("_size")), "mix-places")
         dealt = placed.groupBy("nth", "shard").agg(F.sum("words").alias("words"), F.first("block").alias("block"))
         dealt = dealt.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long"))
+        # apportionment reads its parties twice: written, each is a plan of its own and none stands in another's several times
+        dealt = written(dealt, "mix-shards")
         # a source's weight and cap are in its own blocks, whose length is nearly that of all
         own = sources.join(dealt.groupBy("nth").agg(F.sum("blocks").alias("own")), "nth").withColumns({"wanted": F.col("target") * F.col("own") / F.col("source_size"), "most": REPEATS * F.col("own")})
         given = sainte_lague(own.withColumn("seats", F.round(F.sum("wanted").over(everything)).cast("long")), ["_all"], "nth", "wanted", "seats", "most")
+        given = written(given.select("nth", F.col("quota").alias("given")), "mix-given")
         # by their blocks, of which a source gets REPEATS times all at most, no shard gets more than that of its own
-        dealt = sainte_lague(dealt.join(given.select("nth", F.col("quota").alias("given")), "nth"), ["nth"], "shard", "blocks", "given")
+        dealt = sainte_lague(dealt.join(given, "nth"), ["nth"], "shard", "blocks", "given")
         dealt = dealt.withColumn("more", F.col("quota") % F.col("blocks")).withColumn("start", F.pmod(F.xxhash64("nth", "shard", F.lit(seed)), F.col("blocks")))
         edge = lambda c: F.floor(c * F.col("words") / F.col("blocks")).cast("long")  # noqa: E731  words before block c
         last = F.col("start") + F.col("more")
